@@ -27,16 +27,16 @@ SUPPORT, STEPS = 0.75, 4
 #: Groups of fewer rows are estimated together.
 LEAST_ROWS = 100
 #: Spread below which a statistic's differences don't count, by statistic (see vector()).
-FLOORS = (0.08, 0.12, 0.12, 0.12, 0.08, 0.08)
-#: Chi-squared quantile of 6 degrees of freedom at 1 - 1e-6, and their median (fixed values).
-CUTOFF, CHI2_MEDIAN = 38.258, 5.348
+FLOORS = (0.08, 0.10, 0.20, 0.20, 0.08, 0.08, 0.12)
+#: Quantiles of chi-squared with 7 degrees of freedom at 0.99 and at 0.5 (fixed values).
+CUTOFF, CHI2_MEDIAN = 18.475, 6.346
 #: A text of n words has its squared distance multiplied by n / (n + SHORT): short texts vary more.
-SHORT = 40
+SHORT = 30
 MIN_WORDS, REPEAT_PERCENT = 10, 20
 
 _D = len(FLOORS)
 _PAIRS = [(i, j) for i in range(_D) for j in range(i, _D)]
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_other")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_other", "n_same")
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -67,11 +67,13 @@ def count_texts(docs: list[bytes]) -> dict[str, np.ndarray]:
         np.add.at(covered, twice, 1)
         np.add.at(covered, twice + 5, -1)
     inside = np.concatenate(([0], np.cumsum(np.cumsum(covered)[: len(w.hashes)] > 0)))
+    same_word = np.concatenate(([False], (w.hashes[1:] == w.hashes[:-1]) & (doc[1:] == doc[:-1]))) if len(doc) else np.empty(0, bool)
+    repeats = np.concatenate(([0], np.cumsum(same_word)))
     lines = [[x for x in d.split(b"\n") if x.strip()] for d in docs]
     return {
         "n_words": np.diff(w.first), "word_chars": total(_STARTS & ~words.IS_SPACE), "n_symbols": total(_SYMBOL),
         "n_dup_lines": np.fromiter((len(x) - len(set(x)) for x in lines), np.int64, n), "n_repeat_words": np.diff(inside[w.first]),
-        "n_lines": np.fromiter(map(len, lines), np.int64, n), "n_upper": total(_UPPER), "n_other": total(_OTHER),
+        "n_lines": np.fromiter(map(len, lines), np.int64, n), "n_upper": total(_UPPER), "n_other": total(_OTHER), "n_same": np.diff(repeats[w.first]),
     }
 
 
@@ -96,10 +98,10 @@ def base_failed() -> Column:
 
 
 def vector() -> list[Column]:
-    """Transformed statistics: word length, symbols, repeated lines and words, capitals, other signs."""
+    """Transformed statistics: word length, symbols, repeated lines and words, capitals, other signs, words said twice running."""
     n, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
     rate = lambda c, by: F.sqrt(F.col(c) / by)
-    return [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), rate("n_symbols", n), rate("n_dup_lines", lines), rate("n_repeat_words", n), rate("n_upper", chars), rate("n_other", chars)]
+    return [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), rate("n_symbols", n), rate("n_dup_lines", lines), rate("n_repeat_words", n), rate("n_upper", chars), rate("n_other", chars), rate("n_same", n)]
 
 
 def _distance(center: str = "center", precision: str = "precision") -> Column:
