@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, lengths, neardup, packing, quality, substring, token_codes
+from . import common, decontam, lengths, neardup, packing, quality, substring, token_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +35,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_token_codes, op5_near_duplicates, op6_quality, op7_token_counts, op9_substring)}
+    return {f.__name__: f for f in (op1_packing, op4_token_codes, op5_near_duplicates, op6_quality, op7_token_counts, op8_decontamination, op9_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
