@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontam, lengths, neardup, packing, quality, substring, token_codes
+from . import common, decontam, lengths, neardup, packing, pii, quality, substring, token_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,12 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_token_codes, op5_near_duplicates, op6_quality, op7_token_counts, op8_decontamination, op9_substring)}
+    return {f.__name__: f for f in (op1_packing, op4_token_codes, op5_near_duplicates, op6_quality, op7_token_counts, op8_decontamination, op9_substring, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
