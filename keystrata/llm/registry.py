@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontam, lengths, neardup, packing, pii, quality, substring, token_codes, toxicity
+from . import common, decontam, html_extract, lengths, neardup, packing, pii, quality, substring, token_codes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_digest(packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_toxicity, op4_token_codes, op5_near_duplicates, op6_quality, op7_token_counts, op8_decontamination, op9_substring, op10_pii)}
+    return {f.__name__: f for f in (op1_packing, op2_html, op3_toxicity, op4_token_codes, op5_near_duplicates, op6_quality, op7_token_counts, op8_decontamination, op9_substring, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
