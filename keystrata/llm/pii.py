@@ -82,10 +82,12 @@ def with_matches(df: DataFrame, text: str, pattern: str, needs: str, out: str) -
     df = df.withColumn("_s", F.when(F.size("_m") > 0, F.split(F.col(text), pattern, -1)).otherwise(F.expr("cast(array() as array<string>)")))
     df = df.withColumn("_l", F.expr("zip_with(_s, _m, (a, b) -> length(a) + coalesce(length(b), 0))"))
     sums = f"transform(sequence(0, cast((size(_l) - 1) div {CHUNK} as int)), j -> aggregate(slice(_l, j * {CHUNK} + 1, {CHUNK}), 0, (a, b) -> a + b))"
-    df = df.withColumn("_f", F.expr(f"if(size(_m) > 0, aggregate({sums}, array(0), (acc, v) -> concat(acc, array(element_at(acc, -1) + v))), array(0))"))
-    start = f"get(_f, cast(i div {CHUNK} as int)) + aggregate(slice(_l, cast(i div {CHUNK} as int) * {CHUNK} + 1, i % {CHUNK}), 0, (a, b) -> a + b) + length(get(_s, i))"
-    df = df.withColumn(out, F.expr(f"transform(_m, (m, i) -> named_struct('start', {start}, 'm', m, 'before', right(get(_s, i), 24), 'after', left(get(_s, i + 1), 8)))"))
-    return df.drop("_l", "_f")
+    firsts = f"if(size(_m) > 0, aggregate({sums}, array(0), (acc, v) -> concat(acc, array(element_at(acc, -1) + v))), array(0))"
+    start = f"get(z.f, cast(i div {CHUNK} as int)) + aggregate(slice(_l, cast(i div {CHUNK} as int) * {CHUNK} + 1, i % {CHUNK}), 0, (a, b) -> a + b) + length(get(_s, i))"
+    each = f"transform(_m, (m, i) -> named_struct('start', {start}, 'm', m, 'before', right(get(_s, i), 24), 'after', left(get(_s, i + 1), 8)))"
+    # A lambda over one struct: its sums are computed once a row. As a column they'd be inlined into the inner lambda.
+    df = df.withColumn(out, F.expr(f"element_at(transform(array(named_struct('f', {firsts})), z -> {each}), 1)"))
+    return df.drop("_l")
 
 
 def with_base(df: DataFrame, text: str = "text") -> DataFrame:
