@@ -25,7 +25,7 @@ Pairs = tuple[np.ndarray, np.ndarray]
 
 
 def parts_of(spark: SparkSession) -> int:
-    return max(24, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(24, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def pack(stream: Iterable[Pairs], parts: int, by_doc: bool = False) -> Iterator[pa.RecordBatch]:
