@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import os
 import unicodedata
-from itertools import chain
 
 import numpy as np
 import regex
 
 END_ID = 1
 #: Pieces (and words within them) kept by a worker, and the longest that it keeps.
-CACHE_PIECES, CACHE_CHARS = 400_000, 64
+CACHE_PIECES, CACHE_CHARS = 600_000, 64
 #: Characters for which Python and the library agree on classes and lower case.
 _PLAIN = regex.compile(r"[\x21-\x7e\n\t \u00a1-\u00ac\u00ae-\u017f]*")
 
@@ -49,50 +48,64 @@ class PieceEncoder:
         self.lower = bool(spec["normalizer"])
         self.letters = _byte_letters()
         self.most = most
+        #: Ids of a space and a word; of a text's first word; of parts of these.
         self.cache: dict[str, bytes] = {}
-        self.word_ids: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
         ids = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        data = b"".join([t.id.to_bytes(4, "little") for t in ids])
-        if len(word) <= CACHE_CHARS:
-            if len(self.word_ids) >= self.most:
-                self.word_ids.clear()
-            self.word_ids[word] = data
-        return data
+        return b"".join([t.id.to_bytes(4, "little") for t in ids])
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a piece's core word or trailing signs; kept, as other pieces have them too."""
+        known = self.parts.get(part)
+        if known is None:
+            known = self._word(part)
+            if len(self.parts) >= self.most // 2:
+                self.parts.clear()
+            if len(part) <= CACHE_CHARS:
+                self.parts[part] = known
+        return known
 
     def _piece(self, piece: str) -> bytes:
-        if not _PLAIN.fullmatch(piece):
+        if not piece.isascii() and not _PLAIN.fullmatch(piece):
             return self._encode(piece)
         if self.lower:
-            piece = unicodedata.normalize("NFC", piece).lower()
-        known = self.word_ids
-        return b"".join([known[w] if w in known else self._word(w) for w in self.words(piece)])
+            piece = unicodedata.normalize("NFC", piece).lower().strip(" ")
+        core = piece.rstrip(".,!?;:")
+        if core[core[:1] == " " :].isalpha():
+            return self._word(core) if len(core) == len(piece) else self._part(core) + self._part(piece[len(core) :])
+        return b"".join([self._part(w) for w in self.words(piece)])
+
+    def _kept(self, cache: dict[str, bytes], key: str, piece: str) -> bytes:
+        ids = cache.get(key)
+        if ids is None:
+            ids = self._piece(piece)
+            if len(key) <= CACHE_CHARS:
+                if len(cache) >= self.most:
+                    cache.clear()
+                cache[key] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
-        split = [None if x and "  " in x else (x or "").replace(" ", "\0 ").split("\0") if "\0" not in (x or "") else None for x in texts]
-        cache = self.cache
-        new = list(set(chain.from_iterable(filter(None, split))).difference(cache, [""]))
-        extra: dict[str, bytes] = {"": b""}
-        if new:
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = list(set(chain.from_iterable(filter(None, split))) - {""})
-            for piece in new:
-                (cache if len(piece) <= CACHE_CHARS else extra)[piece] = self._piece(piece)
-        get = cache.get
-        out = []
-        for text, pieces in zip(texts, split, strict=True):
-            if pieces is None:
+        get, out = self.cache.get, []
+        for text in texts:
+            if not text:
+                out.append(b"")
+                continue
+            if "  " in text:
                 out.append(self._encode(text))
                 continue
-            ids = list(map(get, pieces))
+            words = text.split(" ")
+            ids = list(map(get, words))
+            ids[0] = self._kept(self.firsts, words[0], words[0]) if words[0] else b""
             if None in ids:
-                ids = [extra[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
+                ids = [self._kept(self.cache, w, " " + w) if i is None else i for w, i in zip(words, ids, strict=True)]
             out.append(b"".join(ids))
         return out
 
