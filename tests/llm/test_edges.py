@@ -10,7 +10,7 @@ from keystrata.llm import decontam, html_extract, lengths, neardup, packing, pii
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, row string, keys string, doc string, part int, _m string, _rest string, hash string"
 _rng = random.Random(4)
-LONG = " ".join(_rng.choice(["alpha", "beta,", "gamma.\n", "delta 12.13.14.15", "e@f.gh"]) + str(_rng.randint(0, 9999)) for _ in range(30_000))
+LONG = " ".join(_rng.choice(["alpha", "beta,", "gamma.\n", "delta 12.13.14.15", "e@f.gh"]) + str(_rng.randint(0, 9999)) for _ in range(6_000))
 
 
 def _rows():
