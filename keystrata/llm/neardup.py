@@ -7,11 +7,12 @@ most 23 symbols have a chunk with at most one difference, and so agree on that c
 of its symbols: one key for each symbol left out, 64 keys in all, finds every such pair.
 
 Documents with equal sets form one class, and only classes are joined. Classes with a common key
-form a bucket; the bucket's smallest document is first tried with all others (pairs grow with
-members, not with their square). Where that leaves a bucket in several components, members outside
-its largest component are tried with their nearest members elsewhere, four times as many in
-each round, until components join or all pairs within the distance have been tried. A pair is linked
-only if the full sets pass. Components are found by Spark rounds over the links.
+form a bucket; pairs of a bucket's smallest member with the others (as many as members, not their
+square) tie buckets together into clusters, which hold every candidate pair. A cluster's full sets
+meet once: an index of each set's rarest shingles (those that a set of similarity 0.85 can't miss
+altogether) yields the pairs to confirm, and pairs that are in one component already are skipped.
+Clusters of more than BLOCK members are compared block against block, in tasks of bounded size.
+Components that span tasks are found by Spark rounds over the links.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 from . import common, exchange, words
 
 SHINGLE, PERCENT = 5, 85
-SYMBOLS, CHUNKS, DISTANCE = 64, 12, 23
-#: Members of a bucket that one task compares at once.
-BLOCK = 8192
+#: DISTANCE is what CHUNKS chunks with one difference each guarantee.
+SYMBOLS, CHUNKS = 64, 12
+DISTANCE = 2 * CHUNKS - 1
+#: Members of a cluster in one block; a task compares two blocks at most.
+BLOCK = 4096
 
 _U = np.uint64
 _random = np.random.default_rng(20240607)
@@ -87,44 +90,79 @@ def _keys(batches):
                 yield words.mix((whole - part) ^ _FLIP[s]), ids
 
 
-MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("members", pa.binary())])
-MET_DDL = "a long, b long, bucket long, members binary"
+STAR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Pairs of a bucket's smallest member with the others, and buckets of three members or more."""
+    """Pairs of each bucket's smallest member with its others."""
     keys, docs, group = exchange.sorted_groups(*exchange.unpack(table))
     cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(keys) else np.empty(0, np.int64)
-    sizes = np.diff(np.concatenate((cuts, [len(keys)])))
-    hub = np.repeat(docs[cuts], sizes)
+    hub = np.repeat(docs[cuts], np.diff(np.concatenate((cuts, [len(keys)]))))
     pairs = np.unique(np.stack([hub, docs], axis=1)[hub < docs], axis=0) if len(keys) else np.empty((0, 2), np.int64)
-    buckets: dict[int, bytes] = {}
-    for at, size in zip(cuts[sizes > 2], sizes[sizes > 2], strict=True):
-        data = docs[at : at + size]
-        name = int(words.window_hashes(words.mix(data.astype(np.uint64)) * (np.arange(size, dtype=np.uint64) * _U(2) + _U(1)), 1).sum(dtype=np.uint64).astype(np.int64))
-        buckets.setdefault(name, data.tobytes())
-    n, m = len(pairs), len(buckets)
-    return pa.Table.from_arrays(
-        [pa.array([*pairs[:, 0].tolist(), *[None] * m], pa.int64()), pa.array([*pairs[:, 1].tolist(), *[None] * m], pa.int64()), pa.array([*[None] * n, *buckets], pa.int64()), pa.array([*[None] * n, *buckets.values()], pa.binary())],
-        schema=MET,
-    )
-
-
-def _distances(batches):
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sign_a", "sign_b"))
-        yield batch.filter(pa.array((a != b).sum(axis=1) <= DISTANCE)).select(["a", "b"])
+    return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=STAR)
+
 
+def forest(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(smallest id of its component, id) of every set that is linked with another, by all pairs of these sets.
 
-def _similar(batches):
-    """Pairs whose full sets pass."""
-    for batch in common.slices(batches, ["set_a", "set_b"], 1 << 23):
-        ok = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch.filter(pa.array(ok)).select(["a", "b"])
+    Sets are sorted by how rare their entries are here. If two sets are similar enough, each has one of the
+    other's entries among its first size - ceil(0.85 * size) + 1.
+    """
+    order = np.lexsort((ids, [len(s) for s in sets]))
+    sets, own = [sets[k] for k in order], ids[order]
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.lexsort((values, counts))] = np.arange(len(values))
+    entry = rank[inverse]
+    entry = entry[np.lexsort((entry, owner))]
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    # Where each entry occurs: set numbers, ascending.
+    by_entry = np.lexsort((owner, entry))
+    post, post_first = owner[by_entry], np.searchsorted(entry[by_entry], np.arange(len(values) + 1))
+    prefix = sizes - -(-PERCENT * sizes // 100) + 1
+    inside = np.arange(len(entry)) - first[owner] < prefix[owner]
+    by_prefix = by_entry[inside[by_entry]]
+    short, short_first = owner[by_prefix], np.searchsorted(entry[by_prefix], np.arange(len(values) + 1))
+    parent = np.arange(n)
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x in range(n):
+        mine = entry[first[x] : first[x] + prefix[x]]
+        lists = [short[short_first[e] : short_first[e + 1]] for e in mine if short_first[e + 1] - short_first[e] > 1]
+        if not lists:
+            continue
+        found = np.unique(np.concatenate(lists))
+        found = found[(found < x) & (100 * sizes[found] >= PERCENT * sizes[x])]
+        if not len(found):
+            continue
+        roots = np.array([root(y) for y in found])
+        found, roots = found[roots != root(x)], roots[roots != root(x)]
+        if not len(found):
+            continue
+        whole = entry[first[x] : first[x + 1]]
+        both = np.bincount(np.concatenate([post[post_first[e] : post_first[e + 1]] for e in whole]), minlength=n)[found]
+        ok = 100 * both >= PERCENT * (sizes[found] + sizes[x] - both)
+        for y in np.unique(roots[ok]):
+            parent[root(int(y))] = root(x)
+    roots = np.array([root(x) for x in range(n)])
+    smallest = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(smallest, roots, own)
+    return [(int(a), int(b)) for a, b in zip(smallest[roots], own, strict=True) if a != b]
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    ids = np.asarray(table.column("id"))
+    pairs = forest(ids, [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()])
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=STAR)
 
 
 def _sets(batches):
@@ -159,47 +197,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("id", "component")
 
 
-def _nearest(rank: int):
-    """For each member outside the largest component, its nearest members of other components."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("complete", pa.bool_())])
-
-    def run(table: pa.Table) -> pa.Table:
-        query = np.asarray(table.column("query"))
-        ids, comp = np.asarray(table.column("id")), np.asarray(table.column("component"))
-        sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        q, m = np.flatnonzero(query), np.flatnonzero(~query)
-        pairs, complete = [], True
-        for k in q:
-            far = np.zeros(len(m), np.int16)
-            for s in range(SYMBOLS):
-                far += sign[m, s] != sign[k, s]
-            ok = np.flatnonzero((far <= DISTANCE) & (comp[m] != comp[k]))
-            if len(ok) > rank:
-                complete = False
-                ok = ok[np.lexsort((ids[m[ok]], far[ok]))[:rank]]
-            pairs += [(int(min(ids[k], x)), int(max(ids[k], x))) for x in ids[m[ok]]]
-        pairs = list(set(pairs))
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
-        bucket = table.column("bucket")[0].as_py()
-        return pa.Table.from_arrays([pa.array([*a, None], pa.int64()), pa.array([*b, None], pa.int64()), pa.array([bucket] * (len(a) + 1), pa.int64()), pa.array([complete] * (len(a) + 1))], schema=out)
-
-    return run, "a long, b long, bucket long, complete boolean"
-
-
-def _open_buckets(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of buckets with two components or more, dealt to blocks: queries meet all blocks."""
-    rows = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
-    rows = rows.join(largest.select("bucket", F.col("top.component").alias("top"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
-    rows = rows.join(classes.select("id", "signature"), "id")
-    own, all_blocks = F.pmod(F.hash("id"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cols = ["bucket", "id", "component", "signature"]
-    members = rows.select(*cols, own.alias("mb"), all_blocks.alias("qb"), F.lit(False).alias("query"))
-    queries = rows.where("component <> top").select(*cols, all_blocks.alias("mb"), own.alias("qb"), F.lit(True).alias("query"))
-    return members.unionByName(queries)
-
-
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows (doc, text), and one row (id, n, signature) for each distinct set."""
     signed = common.materialize(docs.mapInArrow(_signed, SIGNATURES_DDL), "signatures")
@@ -211,50 +208,21 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, component) of classes with links."""
     parts = exchange.parts_of(docs.sparkSession)
     packed = classes.select("id", "signature").mapInArrow(lambda b: exchange.pack(_keys(b), parts), exchange.PACKED_DDL)
-    met = common.materialize(packed.groupBy("part").applyInArrow(_meet, MET_DDL), "met")
-    star = met.where("a is not null").select("a", "b").distinct()
-    lists = met.where("bucket is not null").groupBy("bucket").agg(F.first("members").alias("members"))
-
-    def explode_members(batches):
-        for batch in batches:
-            for name, data in zip(batch.column("bucket").to_pylist(), batch.column("members").to_pylist(), strict=True):
-                ids = np.frombuffer(data, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), name), pa.int64()), pa.array(ids, pa.int64())], names=["bucket", "id"])
-
-    buckets = common.materialize(lists.mapInArrow(explode_members, "bucket long, id long"), "buckets")
-    signs = classes.select("id", "signature")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(signs.select(F.col("id").alias("a"), F.col("signature").alias("sign_a")), "a").join(signs.select(F.col("id").alias("b"), F.col("signature").alias("sign_b")), "b")
-        return rows.mapInArrow(_distances, "a long, b long")
-
-    tested = common.materialize(near(star), "pairs")
-    ids = tested.select(F.col("a").alias("doc")).union(tested.select("b")).union(buckets.select("id")).distinct()
-    ids = common.materialize(ids, "members")
-    sets = common.materialize(common.id_filter(docs, ids, "doc", "left_semi").mapInArrow(_sets, "id long, shingles binary").withColumn("h", F.xxhash64("shingles")).dropDuplicates(["id", "h"]).drop("h"), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        return rows.mapInArrow(_similar, "a long, b long").distinct()
-
-    links = common.materialize(verified(tested), "links")
-    labels = components(links)
-    rank, live = 4, buckets
-    while True:
-        run, ddl = _nearest(rank)
-        found = common.materialize(_open_buckets(live, labels, classes).groupBy("bucket", "mb", "qb").applyInArrow(run, ddl), "nearest")
-        fresh = common.materialize(found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        going = common.materialize(found.where("not complete").select("bucket").distinct(), "going")
-        if fresh.limit(1).count():
-            more = common.materialize(verified(fresh), "links")
-            if more.limit(1).count():
-                links = common.materialize(links.unionByName(more), "links")
-                labels = components(links)
-            tested = common.materialize(tested.unionByName(fresh), "pairs")
-        if not going.limit(1).count():
-            return labels
-        live = common.materialize(live.join(going, "bucket", "left_semi"), "buckets")
-        rank *= 4
+    star = packed.groupBy("part").applyInArrow(_meet, "a long, b long")
+    # A class is in 64 buckets, so it has at most 64 hubs: it is tied to the smallest, and so are the others.
+    tied = common.materialize(star.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("hubs")), "tied")
+    hubs = tied.select("a", F.explode("hubs").alias("b")).where("a <> b").distinct()
+    clusters = components(tied.select("a", "b").unionByName(hubs))
+    sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = common.materialize(clusters.withColumnRenamed("component", "cluster").join(sizes, "cluster"), "members")
+    near = common.id_filter(docs, members.select(F.col("id").alias("doc")), "doc", "left_semi")
+    sets = near.mapInArrow(_sets, "id long, shingles binary").join(members, "id")
+    # Every two blocks of a cluster meet in one task; most clusters are a single block.
+    block, other = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = sets.select("id", "shingles", "cluster", "blocks", block.alias("own"), other.alias("other"))
+    dealt = dealt.select("id", "shingles", "cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    links = dealt.groupBy("cluster", "x", "y").applyInArrow(_compare, "a long, b long")
+    return components(links)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
