@@ -3,8 +3,9 @@
 Pages of one host are aligned one after the other into a wrapper: a regular expression without unions
 over tags and text slots. Siblings with one shape become a repeated group, also where groups of up to four
 alternate; a part that only some pages have becomes optional; text that differs becomes a slot. Each
-slot keeps sums of its text and link text. Slots that hold the article are then chosen on the
-wrapper, and a page's text is what its alignment with the wrapper puts into these slots.
+slot keeps sums of its text and link text. A page's template is the part of the wrapper that its
+alignment reaches; slots that hold the article are chosen on that part, so pages of other templates of
+the host don't decide. Pages without a host have nothing in common and are wrapped each alone.
 
 Every task aligns the pages that it reads and sends one small wrapper for each host, so a host with a
 third of all pages sends as many rows as there are tasks; they are merged in two steps. Wrappers are
@@ -44,6 +45,10 @@ _raw_end: dict[str, re.Pattern] = {}
 #: A wrapper node: symbol, repeated, optional, children, [characters, link characters] of a slot.
 #: A page node: symbol, children or text, link characters.
 SLOT, GROUP = "#", "()"
+#: Kinds of plan nodes: not marked, article or main element, never taken, not taken outside of the article.
+PLAIN, ARTICLE, BARRED, OUTSIDE = range(4)
+#: The element with most of a template's text isn't followed on a page with less than this share of its text there.
+LEAST_OWN = 0.3
 
 
 def host_of(url: str | None) -> str:
@@ -264,75 +269,110 @@ def regular_expression(nodes: list) -> str:
 
 
 def choose(nodes: list) -> list:
-    """A plan that mirrors the wrapper: [symbol, take, children]; take marks the slots that hold the article.
+    """A plan that mirrors the wrapper: [symbol, kind, children, weight]; a slot's weight is its text that isn't link text.
 
-    Slots inside article or main elements are taken if the host has such; otherwise those in the
-    element with the most text that isn't link text. Barred elements are never taken.
+    What is taken is decided for each page by the part of the plan that it reaches, see extract().
     """
 
-    def text(n: list, inside: bool) -> int:
-        if n[0] == SLOT:
-            return n[4][0] - 2 * n[4][1]
-        return 0 if not n[0].startswith(GROUP) and _barred(n[0], inside) else sum(text(c, inside) for c in n[3])
+    def kind(name: str) -> int:
+        if name == SLOT or name.startswith(GROUP):
+            return PLAIN
+        if _barred(name, True):
+            return BARRED
+        if _barred(name, False):
+            return OUTSIDE
+        tag, _, rest = name.partition(".")
+        return ARTICLE if tag in ("article", "main") or tag in ("div", "section", "td") and set(re.split(r"[^a-z]+", rest)) & {"article", "main"} else PLAIN
 
-    def is_article(n: list) -> bool:
-        tag, _, rest = n[0].partition(".")
-        return tag in ("article", "main") or bool(set(re.split(r"[^a-z]+", rest)) & {"article", "main"} and tag in ("div", "section", "td"))
+    return [[n[0], kind(n[0]), choose(n[3]), n[4][0] - 2 * n[4][1]] for n in nodes]
 
-    def has_article(n: list) -> bool:
-        return not n[0].startswith(GROUP) and n[0] != SLOT and not _barred(n[0], False) and (is_article(n) and text(n, True) > 0 or any(map(has_article, n[3]))) or n[0].startswith(GROUP) and any(map(has_article, n[3]))
 
-    semantic = any(map(has_article, nodes))
-    chosen: list = []
-    if not semantic:
-        level = nodes
-        while True:  # go down while one element holds most of the text
-            total = sum(max(0, text(n, False)) for n in level)
-            best = max((n for n in level if n[0] != SLOT), key=lambda n: text(n, False), default=None)
-            if best is None or total == 0 or text(best, False) < 0.7 * total or best[0].partition(".")[0] in ("p", "ul", "ol", "table", "pre", "blockquote", "dl"):
-                break
-            chosen.append(best)
-            level = best[3]
-
-    def plan(n: list, inside: bool, depth: int) -> list:
-        group = n[0].startswith(GROUP)
-        if n[0] == SLOT:
-            return [SLOT, inside, []]
-        if not group and _barred(n[0], inside):
-            return [n[0], False, []]
-        if semantic:
-            deeper = inside or not group and is_article(n)
-        else:
-            deeper = inside or not chosen or n is chosen[-1]
-        return [n[0], False, [plan(c, deeper, depth + 1) for c in n[3]]]
+def _reached(parts: list, nodes: list) -> list:
+    """The page's parts in page order as [plan node, instances below it or the slot's page node].
 
-    return [plan(n, not semantic and not chosen, 0) for n in nodes]
+    A part that the plan doesn't have gets a plan of its own, so that no text is lost.
+    """
+    names, out, last = [n[0] for n in nodes], [], 0
+    places = dict((b, a) for a, b in align(names, [p[0] for p in parts]))
+    for k, (name, instances) in enumerate(parts):
+        place = places.get(k)
+        if place is None:  # an adjoined node takes all later parts of its symbol
+            place = next((x for x in (*range(last, len(names)), *range(last)) if names[x] == name), None)
+        if place is None:
+            node = choose([_wrap(name, instances)])[0]
+        else:
+            last, node = place, nodes[place]
+        out += [[node, one if name == SLOT else _reached(one if name.startswith(GROUP) else fold(one[1]), node[2])] for one in instances]
+    return out
 
 
 def extract(page: str, plan: list) -> str:
-    """The article of a page by its host's plan: blocks in page order, joined by line ends."""
-    blocks: list[str] = []
-
-    def walk(parts: list, nodes: list) -> None:
-        names = [n[0] for n in nodes]
-        places = dict((b, a) for a, b in align(names, [p[0] for p in parts]))
-        last = 0
-        for k, (name, instances) in enumerate(parts):
-            place = places.get(k)
-            if place is None:  # an adjoined node takes all later parts of its symbol
-                place = next((x for x in (*range(last, len(names)), *range(last)) if names[x] == name), None)
-                if place is None:
-                    continue
-            last = place
-            for one in instances:
-                if name == SLOT:
-                    if nodes[place][1]:
-                        blocks.append(one[1])
-                else:
-                    walk(one if name.startswith(GROUP) else fold(one[1]), nodes[place][2])
+    """The article of a page by its host's plan: blocks in page order, joined by line ends.
 
-    walk(fold(parse(page)[1]), plan)
-    return "\n".join(blocks)
+    Pages of one host may have several templates. A page's template is the part of the plan that it reaches. If that
+    has article or main elements that hold text on this page, their slots are taken; otherwise those in the element
+    with the most text that isn't link text, by the weights of the slots reached, or by this page's own text where
+    it has little of it there. Barred elements are never taken.
+    """
+
+    def slots(items: list, inside: bool) -> list:
+        out = []
+        for node, below in items:
+            if node[0] == SLOT:
+                out.append(below)
+            elif node[1] != BARRED and (inside or node[1] != OUTSIDE):
+                out += slots(below, inside)
+        return out
+
+    def in_articles(items: list) -> list:
+        out = []
+        for node, below in items:
+            if node[1] == ARTICLE:
+                out += slots(below, True)
+            elif node[0] != SLOT and node[1] == PLAIN:
+                out += in_articles(below)
+        return out
+
+    def own(found: list) -> int:
+        return sum(len(x[1]) - 2 * x[2] for x in found)
+
+    def weights(items: list, of: dict) -> dict:
+        """Weights of the slots below, each once."""
+        for node, below in items:
+            if node[0] == SLOT:
+                of[id(node)] = node[3]
+            elif node[1] in (PLAIN, ARTICLE):
+                weights(below, of)
+        return of
+
+    def heaviest(parts: dict, share: dict) -> int | None:
+        best = max((k for k, x in parts.items() if x[0][0][0] != SLOT), key=share.get, default=None)
+        total = sum(share.values())
+        if best is None or total == 0 or share[best] < 0.7 * total or parts[best][0][0][0].partition(".")[0] in ("p", "ul", "ol", "table", "pre", "blockquote", "dl"):
+            return None
+        return best
+
+    def in_heaviest(items: list) -> list:
+        level = items
+        while True:  # go down while one element holds most of the text
+            parts: dict[int, list] = {}
+            for item in level:
+                parts.setdefault(id(item[0]), []).append(item)
+            here = {k: max(0, own(slots(x, False))) for k, x in parts.items()}
+            best = heaviest(parts, {k: max(0, sum(weights(x, {}).values())) for k, x in parts.items()})
+            if best is None or here[best] < LEAST_OWN * sum(here.values()):
+                best = heaviest(parts, here)
+            if best is None:
+                break
+            level = [y for x in parts[best] for y in x[1]]
+        return slots(level, True)
+
+    items = _reached(fold(parse(page)[1]), plan)
+    taken = in_articles(items)
+    if own(taken) <= 0:
+        other = in_heaviest(items)
+        taken = taken if sum(len(x[1]) for x in taken) >= sum(len(x[1]) for x in other) else other
+    return "\n".join(x[1] for x in taken)
 
 
 WRAPPERS = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("wrapper", pa.string())])
@@ -340,14 +380,17 @@ TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.st
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, plan) from pages (page_id, url, html)."""
+    """(host, plan) from pages (page_id, url, html); none for pages without a host."""
 
     def local(batches):
         held: dict[str, list] = {}
         salt = 0
         for batch in common.slices(batches, ["html"], 1 << 22):
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host, own = host_of(url), wrapper_of(page or "")
+                host = host_of(url)
+                if not host:
+                    continue
+                own = wrapper_of(page or "")
                 held[host] = merge(held[host], own) if host in held else own
                 salt = (31 * salt + len(page or "")) % 32
             if len(held) > 2000:
@@ -376,7 +419,7 @@ def infer(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
-    Null pages count as empty; null and odd urls form one host. Repeated rows are extracted each. An empty
+    Null pages count as empty; pages of null and odd urls are judged each alone. Repeated rows are extracted each. An empty
     table gives an empty table.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -388,10 +431,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for batch in common.slices(batches, ["html"], 1 << 22):
             out = []
             for page, text in zip(batch.column("html").to_pylist(), batch.column("plan").to_pylist(), strict=True):
+                if text is None:
+                    out.append(extract(page or "", choose(wrapper_of(page or ""))))
+                    continue
                 if text not in known:
                     if len(known) > 5000:
                         known.clear()
-                    known[text] = json.loads(text or "[]")
+                    known[text] = json.loads(text)
                 out.append(extract(page or "", known[text]))
             yield common.arrow_batch(TEXTS, page_id=batch.column("page_id").to_pylist(), url=batch.column("url").to_pylist(), text=out)
 

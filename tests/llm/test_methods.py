@@ -266,6 +266,25 @@ def test_wrapper_and_text():
     assert html_extract.regular_expression(groups) == "<dl>((<dt>#text</><dd>#text</>))+</>"
 
 
+def test_templates_of_one_host(spark):
+    """Pages of each template keep their article, whatever the others have; pages without a host don't share a plan."""
+    words_ = " ".join(f"w{k}" for k in range(40))
+    make = {
+        "article": "<body><nav><a>n</a></nav><article><p>{0}</p></article><div class=promo>x</div></body>",
+        "post": "<body><nav><a>n</a></nav><div class=post><p>{0}</p></div></body>",
+        "story": "<body><div class=story><h1>t</h1><p>{0}</p></div></body>",
+        "mixed": "<body><article><p><a>teaser</a></article><div class=post><p>{0}</p></div></body>",
+    }
+    rows, want = [], {}
+    for url, kinds in (("http://a.org/", ["article"] * 6 + ["post"]), ("http://b.org/", ["post"] * 9 + ["story"]), ("http://c.org/", ["article"] * 3 + ["mixed"]), (None, ["article", "article", "post", "story"])):
+        for kind in kinds:
+            k = len(rows)
+            rows.append((k, url and f"{url}{k}", make[kind].format(f"{words_} {k}")))
+            want[k] = ("t\n" if kind == "story" else "") + f"{words_} {k}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.main_text(pages).collect()} == want
+
+
 def test_registered():
     names = [n for n in registry.queries() if n.startswith("op")]
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
