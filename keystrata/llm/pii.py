@@ -6,10 +6,11 @@ their test (numbers up to 255, Luhn, digit counts) always stay. High-recall gene
 spans on the text without the base spans; boosted trees score each by format and context, and those
 above their kind's threshold are added, best first, where they overlap nothing that was taken.
 
-The trees are trained on a bounded sample of documents (TRAIN_DOCUMENTS), whose candidates are
-labelled by whether they lie on a valid base span; equal feature vectors are counted by Spark, and
-only the counts (at most TRAIN_VECTORS) reach the driver. A kind's threshold is the least at which
-PRECISION of the sample's candidates carry the label.
+The candidates of a bounded sample of documents (TRAIN_DOCUMENTS) are labelled: by whether they lie on a valid base span, or pass their
+kind's test when written in the base form; base spans rewritten into loose forms are added. Equal feature
+vectors are counted by Spark. A bounded number of vectors of each kind and label (TRAIN_VECTORS in all) reaches
+the driver, where the trees are grown. A kind's threshold is the least margin at which PRECISION of
+the sample's candidates carry the label.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 KINDS = ("email", "ip", "card", "phone")
 
 #: Fixed patterns of the four kinds. Possessive repeats and the guard before a run give the same
@@ -41,6 +44,10 @@ LOOSE = {
 NEEDS = {"email": "@|[(\\[]at[)\\]]", "ip": r"[0-9](?:\.|\[\.\]|\x20\.\x20)[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 
 TRAIN_DOCUMENTS, TRAIN_VECTORS, PRECISION = 4000, 50_000, 0.97
+#: Margins are counted in steps of 1 / BINS for the thresholds.
+BINS = 1000
+#: Places of features().
+_LEFT, _RIGHT, _IS_LUHN, _IS_IP, _NAMED, _SPELLED = 3, 4, 6, 7, 8, 11
 ROUNDS, DEPTH, RATE, LEAST_WEIGHT = 12, 2, 0.4, 2.0
 #: Lengths that are summed together.
 CHUNK = 64
@@ -108,12 +115,13 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
 def features(c: str = "c") -> list[str]:
     """SQL of whole numbers that describe the format and the context of a candidate struct."""
     digits = _DIGITS.format(m=f"{c}.m")
-    beside = lambda x: f"case when {x} = '' or {x} rlike '[\\\\s]' then 0 when {x} rlike '[A-Za-z0-9]' then 2 else 1 end"
+    beside = lambda x, more: f"case when {x} = '' or {x} rlike '[\\\\s]' then 0 when {more} then 2 else 1 end"
     return [
         f"length({digits})", f"length({c}.m)", f"length(regexp_replace({c}.m, '[A-Za-z0-9]', ''))",
-        beside(f"right({c}.before, 1)"), beside(f"left({c}.after, 1)"), f"int(left({c}.m, 1) = '+')", f"int({_luhn(digits)})", f"int({_octets(f'{c}.m')})",
+        beside(f"right({c}.before, 1)", f"{c}.before rlike '[A-Za-z0-9][-./_]?$'"), beside(f"left({c}.after, 1)", f"{c}.after rlike '^[-./_]?[A-Za-z0-9]'"), f"int(left({c}.m, 1) = '+')", f"int({_luhn(digits)})", f"int({_octets(f'{c}.m')})",
         f"int(lower({c}.before) rlike 'mail|phone|tel|call|fax|card|visa|pay|addr|host|contact|number')",
         f"size(array_distinct(transform(sequence(1, least(length({digits}), 19)), i -> substr({digits}, i, 1))))", f"length(regexp_extract({c}.m, '[.]([A-Za-z]+)$', 1))",
+        f"case when {c}.m rlike '[(\\\\[](at|dot)[)\\\\]]' then 1 when {c}.m rlike ' [@.]|[@.] ' then 2 else 0 end",
     ]
 
 
@@ -169,31 +177,80 @@ class Trees:
         return " + ".join([f"{self.first!r}D", *map(write, self.trees)])
 
 
-def train(docs: DataFrame, text_col: str = "text", most: int = TRAIN_DOCUMENTS) -> dict[str, tuple[Trees, float]]:
-    """Trees and threshold (a margin) of each kind of which the sample has valid base spans.
+def _label(c: str = "c") -> str:
+    """SQL: 1 where a candidate off the valid base spans can be told to be of its kind, else 0.
 
-    The sample is every document whose text hashes to 0 modulo (rows / most); its texts stay on the executors.
+    It has to pass its kind's test when it is written in the base form, and may not be a piece of a longer token. Forms
+    that anything else may have as well are 0: an address with spaces around plain signs, and a bare run of digits
+    as a phone without a word before it that says so.
+    """
+    digits, v = _DIGITS.format(m=f"{c}.m"), "v"
+    passes = {
+        "email": f"get({v}, {_SPELLED}) < 2",
+        "ip": f"get({v}, {_IS_IP}) = 1",
+        "card": f"length({digits}) between 13 and 19 and get({v}, {_IS_LUHN}) = 1",
+        "phone": f"length({digits}) between 8 and 15 and ({c}.m rlike '[^0-9]' or get({v}, {_NAMED}) = 1)",
+    }
+    return f"int(get({v}, {_LEFT}) < 2 and get({v}, {_RIGHT}) < 2 and case kind {' '.join(f'when {chr(39)}{k}{chr(39)} then {x}' for k, x in passes.items())} end)"
+
+
+def count_vectors(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """kind, y, v, n: feature vectors of the candidates of all documents by label, with their weights.
+
+    Candidates on a valid base span are of its kind, and so are valid base spans rewritten into a loose form at their
+    place; others by _label(). One in ten runs of digits passes Luhn's test by chance. So for nine that don't, of 13 to 15
+    digits (where base spans don't go by that test), one is counted that does and isn't a card.
     """
-    step = max(1, docs.count() // most)
-    text = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).where("text is not null")
-    rows = candidates(with_base(text), "text")
+    rows = candidates(with_base(docs.select(F.col(text_col).alias("text")).where("text is not null")), "text")
     on_base = lambda kind: f"exists(base_{kind}, b -> b.start < c.start + length(c.m) and c.start < b.start + length(b.m))"
-    each = F.concat(*(F.expr(f"transform(cand_{kind}, c -> named_struct('kind', '{kind}', 'y', int({on_base(kind)}), 'v', array({', '.join(features())})))") for kind in KINDS))
-    counted = rows.select(F.explode(each).alias("c")).groupBy("c.kind", "c.y", "c.v").agg(F.count("*").alias("n"))
-    counted = counted.orderBy(F.desc("n"), "kind", "y", "v").limit(TRAIN_VECTORS).collect()
-    out = {}
+    digits = _DIGITS.format(m="b.m")
+    loose = {
+        "email": "replace(replace(b.m, '@', ' (at) '), '.', ' (dot) ')",
+        "ip": "replace(b.m, '.', '[.]')",
+        "card": f"concat_ws('.', substr({digits}, 1, 4), substr({digits}, 5, 4), substr({digits}, 9, 4), substr({digits}, 13))",
+        "phone": f"right({digits}, 10)",
+    }
+    named = [f"transform(cand_{kind}, c -> named_struct('kind', '{kind}', 'on', {on_base(kind)}, 'c', c))" for kind in KINDS]
+    named += [f"transform(base_{kind}, b -> named_struct('kind', '{kind}', 'on', true, 'c', named_struct('start', b.start, 'm', {loose[kind]}, 'before', b.before, 'after', b.after)))" for kind in KINDS]
+    each = rows.select(F.explode(F.expr(f"concat({', '.join(named)})")).alias("x")).select("x.*")
+    each = each.withColumn("v", F.expr(f"array({', '.join(features())})")).withColumn("y", F.expr(f"if(on, 1, {_label()})"))
+    by_chance = f"kind = 'card' and not on and get(v, 0) between 13 and 15 and get(v, {_IS_LUHN}) = 0"
+    twin = f"transform(v, (x, i) -> if(i = {_IS_LUHN}, 1, x))"
+    each = each.withColumn("r", F.explode(F.expr(f"if({by_chance}, array(named_struct('v', v, 'w', 9L), named_struct('v', {twin}, 'w', 1L)), array(named_struct('v', v, 'w', 9L)))")))
+    return each.groupBy("kind", "y", F.col("r.v").alias("v")).agg((F.sum("r.w") / 9).alias("n"))
+
+
+def train(docs: DataFrame, text_col: str = "text") -> dict[str, tuple[Trees, float]]:
+    """Trees and threshold (a margin) of each kind with candidates that carry the label, anywhere in the table.
+
+    The counted vectors of all documents are written once. Trees are fitted to a bounded number of distinct vectors of each
+    kind and label (all of them unless there are more), thresholds come from the counts of all.
+    """
+    step = max(1, docs.count() // TRAIN_DOCUMENTS)
+    docs = docs.where(F.pmod(F.xxhash64(text_col), F.lit(step)) == 0)
+    counted = common.materialize(count_vectors(docs, text_col), "vectors")
+    most = TRAIN_VECTORS // (2 * len(KINDS))
+    share = {(r.kind, r.y): min(1.0, most / r["count"]) for r in counted.groupBy("kind", "y").count().collect()}
+    if not any(y for _, y in share):
+        return {}
+    part = " ".join(f"when kind = '{kind}' and y = {y} then {int(x * (1 << 30))}" for (kind, y), x in share.items())
+    fitted = counted.where(F.expr(f"pmod(xxhash64(v), {1 << 30}) < case {part} end")).collect()
+    grown = {}
     for kind in KINDS:
-        own = sorted((r.v, r.y, r.n) for r in counted if r.kind == kind)
-        if not any(y for _, y, _ in own):
-            continue
-        x, y, n = np.array([v for v, _, _ in own]), np.array([y for _, y, _ in own], float), np.array([n for _, _, n in own], float)
-        trees = Trees(x, y, n)
-        order = np.argsort(-trees.margin, kind="stable")
-        margin, good, all_ = trees.margin[order], np.cumsum((n * y)[order]), np.cumsum(n[order])
-        last = np.append(margin[1:] < margin[:-1], True)
-        fit = np.flatnonzero(last & (good >= PRECISION * all_))
+        own = sorted((r.v, r.y, r.n / share[kind, r.y]) for r in fitted if r.kind == kind)
+        if any(y for _, y, _ in own):
+            grown[kind] = Trees(*(np.array(c, float) if k else np.array(c) for k, c in enumerate(zip(*own, strict=True))))
+    if not grown:
+        return {}
+    margin = f"case kind {' '.join(f'when {chr(39)}{kind}{chr(39)} then {trees.sql(chr(118))}' for kind, trees in grown.items())} end"
+    sums = counted.withColumn("bin", F.expr(f"floor(({margin}) * {BINS})")).where("bin is not null").groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("good")).collect()
+    out = {}
+    for kind, trees in grown.items():
+        own = sorted(((r.bin, r.good, r.n) for r in sums if r.kind == kind), reverse=True)
+        bins, good, all_ = (np.array(c, float) for c in zip(*own, strict=True))
+        fit = np.flatnonzero(np.cumsum(good) >= PRECISION * np.cumsum(all_) - 1e-9)
         if len(fit):
-            out[kind] = (trees, float(margin[fit[-1]]))
+            out[kind] = (trees, float(bins[fit[-1]] / BINS))
     return out
 
 

@@ -238,6 +238,33 @@ def test_added_spans(spark):
     assert got[1000] == ["card:23:39", "phone:5:22"] and all(len(v) == 2 for k, v in got.items() if k < 1000)
 
 
+def test_loose_spans_when_frequent(spark):
+    """Forms that no base span has are added where they are more frequent than base spans; what only looks like them isn't."""
+    rng = random.Random(12)
+
+    def card(n):
+        head = "37" + "".join(rng.choice("0123456789") for _ in range(n - 3))
+        return next(head + c for c in "0123456789" if _luhn(head + c))
+
+    make = {
+        "email": lambda: f"user{rng.randint(0, 99)} (at) host{rng.randint(0, 99)} (dot) com",
+        "ip": lambda: "[.]".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "card": lambda: card(15),
+        "phone": lambda: f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}",
+        "": lambda: rng.choice([f"x{rng.randint(10**9, 10**10 - 1)}z", "999[.]1[.]1[.]1", f"id {rng.randint(10**9, 10**10 - 1)}", "come @ noon. Then"]),
+    }
+    base = ["a.b@c.de", "1.2.3.4", "4539148803436467", "+1 (203) 555-8282"]
+    rows, want = [], {}
+    for k in range(400):
+        kind = [*make][k % 5]
+        m = make[kind]()
+        rows.append((k, f"some words {m} there"))
+        want[k] = [f"{kind}:11:{11 + len(m)}"] if kind else []
+    rows += [(1000 + k, f"some words {b} there") for k, b in enumerate(base)]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v for k, v in got.items() if k < 1000} == want
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(500)]
