@@ -6,11 +6,11 @@ their test (numbers up to 255, Luhn, digit counts) always stay. High-recall gene
 spans on the text without the base spans; boosted trees score each by format and context, and those
 above their kind's threshold are added, best first, where they overlap nothing that was taken.
 
-The candidates of a bounded sample of documents (TRAIN_DOCUMENTS) are labelled: by whether they lie on a valid base span, or pass their
+The candidates of all documents are labelled: by whether they lie on a valid base span, or pass their
 kind's test when written in the base form; base spans rewritten into loose forms are added. Equal feature
 vectors are counted by Spark. A bounded number of vectors of each kind and label (TRAIN_VECTORS in all) reaches
 the driver, where the trees are grown. A kind's threshold is the least margin at which PRECISION of
-the sample's candidates carry the label.
+all documents' candidates carry the label.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ LOOSE = {
 #: What a text must contain before a kind's patterns are tried.
 NEEDS = {"email": "@|[(\\[]at[)\\]]", "ip": r"[0-9](?:\.|\[\.\]|\x20\.\x20)[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 
-TRAIN_DOCUMENTS, TRAIN_VECTORS, PRECISION = 4000, 50_000, 0.97
+TRAIN_VECTORS, PRECISION = 50_000, 0.97
 #: Margins are counted in steps of 1 / BINS for the thresholds.
 BINS = 1000
 #: Places of features().
@@ -226,9 +226,7 @@ def train(docs: DataFrame, text_col: str = "text") -> dict[str, tuple[Trees, flo
     The counted vectors of all documents are written once. Trees are fitted to a bounded number of distinct vectors of each
     kind and label (all of them unless there are more), thresholds come from the counts of all.
     """
-    step = max(1, docs.count() // TRAIN_DOCUMENTS)
-    docs = docs.where(F.pmod(F.xxhash64(text_col), F.lit(step)) == 0)
-    counted = common.materialize(count_vectors(docs, text_col), "vectors")
+    counted = common.materialize(count_vectors(docs, text_col).coalesce(16), "vectors")  # a small table, whatever the number of partitions
     most = TRAIN_VECTORS // (2 * len(KINDS))
     share = {(r.kind, r.y): min(1.0, most / r["count"]) for r in counted.groupBy("kind", "y").count().collect()}
     if not any(y for _, y in share):

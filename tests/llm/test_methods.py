@@ -265,6 +265,13 @@ def test_loose_spans_when_frequent(spark):
     assert {k: v for k, v in got.items() if k < 1000} == want
 
 
+def test_rare_kinds_in_large_tables(spark):
+    """A kind that one document in thousands holds has a model, whatever the number of rows."""
+    rows = spark.range(40_000).selectExpr("id as doc_id", "if(id = 77, 'mail me (at) host (dot) org or a@b.org', concat('plain text of row ', id)) as text").repartition(4)
+    assert [r.spans for r in pii.find(rows).where("doc_id = 77").collect()] == [["email:5:27", "email:31:38"]]
+    assert pii.train(rows).keys() == {"email"}
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(500)]
