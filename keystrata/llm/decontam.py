@@ -3,7 +3,9 @@
 A window of 16 words is hashed under six fixed masks. Positions fall into four classes by their residue
 modulo 4, and a mask ignores two of the classes, so whichever two words of a window are
 substituted, some mask sees none of them: all overlaps with at most two substitutions are found.
-Benchmark items of 8 to 15 words are found by windows of 8 words, exactly.
+Benchmark items of 8 to 15 words are found by windows of 8 words, exactly, and by windows of their own
+length with at most one substitution, one of whose halves has none. Runs of fewer than 16 words
+of longer items don't count.
 
 Training windows are first held against a bitmap of the benchmark's hashes. Its size is a constant,
 so it may be broadcast whatever the benchmark; what passes (true hits and a few strays) is joined
@@ -22,41 +24,48 @@ from pyspark.sql import functions as F
 from . import common, words
 
 WINDOW, CLASSES, ERRORS = 16, 4, 2
-SHORT_WINDOW = 8
+SHORT_WINDOW, SHORT_ERRORS = 8, 1
 #: Bits of the benchmark's bitmap: 2 MB, always.
 BITMAP_BITS = 24
 
 _U = np.uint64
 #: Fixed masks: positions that count.
 MASKS = tuple(tuple(p for p in range(WINDOW) if p % CLASSES not in gone) for gone in itertools.combinations(range(CLASSES), 2))
-_STEP = np.random.default_rng(88).integers(1, 1 << 63, (len(MASKS) + 1, WINDOW), dtype=np.uint64) * _U(2) + _U(1)
+#: Halves of an item of 8 to 15 words: whichever word is substituted, one half doesn't have it.
+HALVES = tuple((size, half) for size in range(SHORT_WINDOW, WINDOW) for half in (tuple(range(size // 2)), tuple(range(size // 2, size))))
+#: Words of a window, positions that are hashed, substitutions allowed: windows of long items, of short items without gaps, whole short items.
+SEEDS = (*((WINDOW, mask, ERRORS) for mask in MASKS), (SHORT_WINDOW, tuple(range(SHORT_WINDOW)), 0), *((*x, SHORT_ERRORS) for x in HALVES))
+_STEP = np.random.default_rng(88).integers(1, 1 << 63, (len(SEEDS), WINDOW), dtype=np.uint64) * _U(2) + _U(1)
 
 HITS = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("mask", pa.int32()), ("hash", pa.int64()), ("window", pa.binary())])
 HITS_DDL = "id long, at long, mask int, hash long, window binary"
 
 
 def _hashes(h: np.ndarray, at: np.ndarray, mask: int) -> np.ndarray:
-    """Hashes of the windows that start at the given words; the last mask is the short one, without gaps."""
-    places = MASKS[mask] if mask < len(MASKS) else range(SHORT_WINDOW)
+    """Hashes of the windows that start at the given words."""
     out = np.zeros(len(at), np.uint64)
-    for p in places:
+    for p in SEEDS[mask][1]:
         out += h[at + p] * _STEP[mask, p]
     return words.mix(out ^ _U(mask + 1))
 
 
-def _windows(batches, bitmap: np.ndarray | None):
-    """Rows of HITS: all windows of benchmark items (no bitmap), or those of documents that pass it."""
+def _windows(batches, bitmap: np.ndarray | None, masks: frozenset[int] = frozenset(range(len(SEEDS)))):
+    """Rows of HITS: all windows of benchmark items (no bitmap), or those of documents that pass it.
+
+    masks: the seeds that the benchmark has windows of; the others aren't looked up.
+    """
     for batch in common.slices(batches, ["text"]):
         ids = np.asarray(batch.column("doc"))
         w = words.split_words(common.texts(batch, "text"), fold=True)
         doc = w.doc_of_word()
-        at, _ = w.windows(WINDOW)
-        short, _ = w.windows(SHORT_WINDOW)
-        if bitmap is None:
-            count = np.diff(w.first)
-            short = short[count[doc[short]] < WINDOW] if len(short) else short
-        for mask in range(len(MASKS) + 1):
-            places, size = (at, WINDOW) if mask < len(MASKS) else (short, SHORT_WINDOW)
+        count = np.diff(w.first)
+        left = w.first[1:][doc] - np.arange(len(doc))
+        for mask in sorted(masks):
+            size = SEEDS[mask][0]
+            places = np.flatnonzero(left >= size)
+            if bitmap is None and mask >= len(MASKS):
+                length = count[doc[places]]
+                places = places[length < WINDOW if mask == len(MASKS) else length == size]
             hashes = _hashes(w.hashes, places, mask)
             if bitmap is not None:
                 bit = hashes >> _U(64 - BITMAP_BITS)
@@ -90,12 +99,12 @@ def _verified(batches):
         keep = []
         for mask, x, y in zip(*(batch.column(c).to_pylist() for c in ("mask", "window", "item_window")), strict=True):
             wrong = int((np.frombuffer(x, np.uint64) != np.frombuffer(y, np.uint64)).sum())
-            keep.append(wrong <= (ERRORS if mask < len(MASKS) else 0))
+            keep.append(wrong <= SEEDS[mask][2])
         yield batch.filter(pa.array(keep, pa.bool_())).select(["doc_id", "at", "item_id"])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, at, item_id): document windows (first word) within two substitutions of a window of an item.
+    """(doc_id, at, item_id): document windows (first word) within the allowed substitutions of a window of an item.
 
     Words are runs without white space, with A-Z lower-cased. Null ids and texts give none. Items of
     fewer than 8 words can't be told from chance and give none.
@@ -107,10 +116,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     whole = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     for r in pieces:
         whole[r.piece << 16 : (r.piece + 1) << 16] = np.frombuffer(r.bits, np.uint8)
+    masks = frozenset(r.mask for r in known.select("mask").distinct().collect())
     shared = docs.sparkSession.sparkContext.broadcast(whole)
 
     def run(batches):
-        return _windows(batches, shared.value)
+        return _windows(batches, shared.value, masks)
 
     hits = rows.mapInArrow(run, HITS_DDL).withColumnRenamed("id", "doc_id")
     # A window that occurs in many items is kept once for each of them.

@@ -183,6 +183,21 @@ def test_overlaps_with_substitutions(spark):
         assert any(not set(errors) & set(mask) for mask in decontam.MASKS)
 
 
+def test_short_items_with_substitutions(spark):
+    """Items of 8 to 15 words are found whole with any one word substituted; pieces of 8 words still are, two substitutions aren't."""
+    rng = random.Random(2)
+    items = {n: [f"q{rng.randint(0, 10**6)}" for _ in range(n)] for n in range(8, 16)}
+    rows, want = [], {}
+    for n, item in items.items():
+        for gone in [(), *((j,) for j in range(n)), (n // 4, n // 2)]:
+            want[len(rows)] = len(gone) < 2
+            rows.append((len(rows), " ".join(["pre", *("X" if j in gone else w for j, w in enumerate(item)), "post"])))
+        want[len(rows)] = True
+        rows.append((len(rows), " ".join(["pre", *item[n - 8 :], "post"])))
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()} == want
+
+
 def test_base_statistics(texts):
     odd = [*texts.values(), "a a a a a a\n\na a a a a a\n b\nb\n b", "#x | <y>\n#x | <y>", "é漢 ü"]
     counts = quality.count_texts([t.encode() for t in odd])
