@@ -61,7 +61,7 @@ def symbol(tag: str, attributes: str) -> str:
     if not attributes:
         return tag
     names = [f"{m[1].lower()}={m[2] or m[3] or m[4] or ''}" for m in _NAME.finditer(attributes)]
-    return tag + "".join("." + re.sub(r"\d+", "", n.split("=", 1)[1])[:60].strip().lower() for n in names)
+    return tag + "".join("." + re.sub(r"\d+", "", n.split("=", 1)[1]).strip().lower() for n in names)
 
 
 def parse(page: str) -> list:

@@ -334,6 +334,12 @@ def test_templates_of_one_host(spark):
     assert {r.page_id: r.text for r in html_extract.main_text(pages).collect()} == want
 
 
+def test_names_after_long_class_lists():
+    utility = " ".join(f"md:flex-{c}-long" for c in "abcdef")
+    page = f"<body><div class='{utility} main'><p>one</p><div class='{utility} sidebar'>side</div><div class='{utility} comments'><p>hi</p></div><div class='{utility} intro'>two</div></div><div class='{utility} x'><p>{'outside ' * 20}</p></div>"
+    assert html_extract.extract(page, html_extract.choose(html_extract.wrapper_of(page))) == "one\ntwo"
+
+
 def test_registered():
     names = [n for n in registry.queries() if n.startswith("op")]
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
