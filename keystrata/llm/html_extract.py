@@ -7,6 +7,9 @@ slot keeps sums of its text and link text. A page's template is the part of the
 alignment reaches; slots that hold the article are chosen on that part, so pages of other templates of
 the host don't decide. Pages without a host have nothing in common and are wrapped each alone.
 
+Which text is the template's is counted apart: a text that nearly all pages of a host have at one path of
+elements is constant and is left out, unless it makes up most of a page's article (then the pages are copies).
+
 Every task aligns the pages that it reads and sends one small wrapper for each host, so a host with a
 third of all pages sends as many rows as there are tasks; they are merged in two steps. Wrappers are
 joined back to pages by host (broadcast if few, else salted).
@@ -14,9 +17,11 @@ joined back to pages by host (broadcast if few, else salted).
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +54,9 @@ SLOT, GROUP = "#", "()"
 PLAIN, ARTICLE, BARRED, OUTSIDE = range(4)
 #: The element with most of a template's text isn't followed on a page with less than this share of its text there.
 LEAST_OWN = 0.3
+#: A constant text is on at least so many pages, and on this share of those with text at its path. Groups of near
+#: copies share text as well, on fewer pages.
+LEAST_PAGES, LEAST_SHARE = 4, 0.9
 
 
 def host_of(url: str | None) -> str:
@@ -244,7 +252,27 @@ def _adjoin(nodes: list) -> list:
 
 
 def wrapper_of(page: str) -> list:
-    return _adjoin([_wrap(*p) for p in fold(parse(page)[1])])
+    return _wrapper(parse(page))
+
+
+def _wrapper(tree: list) -> list:
+    return _adjoin([_wrap(*p) for p in fold(tree[1])])
+
+
+def _key(path: str, text: str = "") -> int:
+    """64 bits of a path, or of a text at a path."""
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def slot_keys(node: list, path: str = "") -> set[tuple[int, int | None]]:
+    """(path, text) of the slots below a page node, and (path, None) once for each path."""
+    out: set = set()
+    for child in node[1]:
+        if child[0] == SLOT:
+            out |= {(_key(path), None), (_key(path), _key(path, child[1]))}
+        else:
+            out |= slot_keys(child, f"{path}\n{child[0]}")
+    return out
 
 
 def _barred(name: str, inside: bool) -> bool:
@@ -287,8 +315,8 @@ def choose(nodes: list) -> list:
     return [[n[0], kind(n[0]), choose(n[3]), n[4][0] - 2 * n[4][1]] for n in nodes]
 
 
-def _reached(parts: list, nodes: list) -> list:
-    """The page's parts in page order as [plan node, instances below it or the slot's page node].
+def _reached(parts: list, nodes: list, path: str = "") -> list:
+    """The page's parts in page order as [plan node, instances below it or the slot's page node with its path].
 
     A part that the plan doesn't have gets a plan of its own, so that no text is lost.
     """
@@ -302,17 +330,24 @@ def _reached(parts: list, nodes: list) -> list:
             node = choose([_wrap(name, instances)])[0]
         else:
             last, node = place, nodes[place]
-        out += [[node, one if name == SLOT else _reached(one if name.startswith(GROUP) else fold(one[1]), node[2])] for one in instances]
+        for one in instances:
+            if name == SLOT:
+                out.append([node, [*one, path]])
+            elif name.startswith(GROUP):
+                out.append([node, _reached(one, node[2], path)])
+            else:
+                out.append([node, _reached(fold(one[1]), node[2], f"{path}\n{name}")])
     return out
 
 
-def extract(page: str, plan: list) -> str:
+def extract(page: str, plan: list, constant: frozenset[int] = frozenset()) -> str:
     """The article of a page by its host's plan: blocks in page order, joined by line ends.
 
     Pages of one host may have several templates. A page's template is the part of the plan that it reaches. If that
     has article or main elements that hold text on this page, their slots are taken; otherwise those in the element
     with the most text that isn't link text, by the weights of the slots reached, or by this page's own text where
     it has little of it there. Barred elements are never taken.
+    constant: keys of the host's constant texts.
     """
 
     def slots(items: list, inside: bool) -> list:
@@ -372,35 +407,46 @@ def extract(page: str, plan: list) -> str:
     if own(taken) <= 0:
         other = in_heaviest(items)
         taken = taken if sum(len(x[1]) for x in taken) >= sum(len(x[1]) for x in other) else other
+    if constant:
+        rest = [x for x in taken if _key(x[3], x[1]) not in constant]
+        if 2 * sum(len(x[1]) for x in rest) >= sum(len(x[1]) for x in taken):
+            taken = rest
     return "\n".join(x[1] for x in taken)
 
 
 WRAPPERS = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("wrapper", pa.string())])
+PARTS = pa.schema([*WRAPPERS, ("path", pa.int64()), ("text", pa.int64()), ("pages", pa.int64())])
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, plan) from pages (page_id, url, html); none for pages without a host."""
+    """(host, plan, constant) from pages (page_id, url, html); none for pages without a host."""
 
     def local(batches):
         held: dict[str, list] = {}
+        seen: Counter = Counter()
         salt = 0
         for batch in common.slices(batches, ["html"], 1 << 22):
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 host = host_of(url)
                 if not host:
                     continue
-                own = wrapper_of(page or "")
+                tree = parse(page or "")
+                own = _wrapper(tree)
                 held[host] = merge(held[host], own) if host in held else own
+                seen.update((host, *key) for key in slot_keys(tree))
                 salt = (31 * salt + len(page or "")) % 32
-            if len(held) > 2000:
-                yield rows(held, salt)
-                held = {}
+            if len(held) > 2000 or len(seen) > 200_000:
+                yield from rows(held, seen, salt)
+                held, seen = {}, Counter()
         if held:
-            yield rows(held, salt)
+            yield from rows(held, seen, salt)
 
-    def rows(held: dict[str, list], salt: int) -> pa.RecordBatch:
-        return common.arrow_batch(WRAPPERS, host=list(held), salt=[salt] * len(held), wrapper=[json.dumps(w, separators=(",", ":")) for w in held.values()])
+    def rows(held: dict[str, list], seen: Counter, salt: int):
+        n = len(held)
+        yield common.arrow_batch(PARTS, host=list(held), salt=[salt] * n, wrapper=[json.dumps(w, separators=(",", ":")) for w in held.values()], path=[None] * n, text=[None] * n, pages=[None] * n)
+        n = len(seen)
+        yield common.arrow_batch(PARTS, host=[k[0] for k in seen], salt=[None] * n, wrapper=[None] * n, path=[k[1] for k in seen], text=[k[2] for k in seen], pages=list(seen.values()))
 
     def join(table: pa.Table) -> pa.Table:
         whole = None
@@ -412,8 +458,13 @@ def infer(pages: DataFrame) -> DataFrame:
         whole = json.loads(join(table).column("wrapper")[0].as_py())
         return pa.table({"host": table.column("host")[:1], "plan": pa.array([json.dumps(choose(whole), separators=(",", ":"))])})
 
-    parts = pages.select("url", "html").mapInArrow(local, "host string, salt int, wrapper string")
-    return parts.groupBy("host", "salt").applyInArrow(join, "host string, salt int, wrapper string").groupBy("host").applyInArrow(finish, "host string, plan string")
+    parts = common.materialize(pages.select("url", "html").mapInArrow(local, "host string, salt int, wrapper string, path long, text long, pages long"), "page-parts")
+    plans = parts.where("wrapper is not null").select("host", "salt", "wrapper").groupBy("host", "salt").applyInArrow(join, "host string, salt int, wrapper string").groupBy("host").applyInArrow(finish, "host string, plan string")
+    counts = parts.where("wrapper is null").groupBy("host", "path", "text").agg(F.sum("pages").alias("pages"))
+    paths = common.materialize(counts.where("text is null").select("host", "path", F.col("pages").alias("whole")), "paths")
+    often = common.attach(counts.where(F.col("text").isNotNull() & (F.col("pages") >= LEAST_PAGES)), paths, ["host", "path"], paths.count())
+    constant = often.where(F.col("pages") >= LEAST_SHARE * F.col("whole")).groupBy("host").agg(F.collect_set("text").alias("constant"))
+    return plans.join(constant, "host", "left")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -427,19 +478,20 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.coalesce(F.lower(F.regexp_extract("url", _HOST.pattern, 1)), F.lit(""))
 
     def run(batches):
-        known: dict[str, list] = {}
+        known: dict[str, tuple] = {}
         for batch in common.slices(batches, ["html"], 1 << 22):
             out = []
-            for page, text in zip(batch.column("html").to_pylist(), batch.column("plan").to_pylist(), strict=True):
+            for url, page, text, place in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "plan")), range(batch.num_rows), strict=True):
                 if text is None:
                     out.append(extract(page or "", choose(wrapper_of(page or ""))))
                     continue
-                if text not in known:
+                host = host_of(url)
+                if host not in known:
                     if len(known) > 5000:
                         known.clear()
-                    known[text] = json.loads(text)
-                out.append(extract(page or "", known[text]))
+                    known[host] = json.loads(text), frozenset(batch.column("constant")[place].as_py() or ())
+                out.append(extract(page or "", *known[host]))
             yield common.arrow_batch(TEXTS, page_id=batch.column("page_id").to_pylist(), url=batch.column("url").to_pylist(), text=out)
 
     joined = common.attach(rows.withColumn("host", host), plans, ["host"], plans.count(), limit=2000)
-    return joined.select("page_id", "url", "html", "plan").mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return joined.select("page_id", "url", "html", "plan", "constant").mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

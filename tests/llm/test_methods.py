@@ -334,6 +334,15 @@ def test_templates_of_one_host(spark):
     assert {r.page_id: r.text for r in html_extract.main_text(pages).collect()} == want
 
 
+def test_constant_text_is_left_out(spark):
+    """A host's fixed lines inside the article aren't article text; copies of one page keep theirs."""
+    page = "<body><article><p>{0} story</p><p>more of {0} here</p><div class=about><p>About this site</p></div><p>All rights are ours.</p></article></body>"
+    rows = [(k, f"http://a.org/{k}", page.format(f"own text {k}")) for k in range(8)] + [(100 + k, f"http://b.org/?ref={k}", page.format("same")) for k in range(8)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[k] == f"own text {k} story\nmore of own text {k} here" for k in range(8))
+    assert all(got[100 + k] == "same story\nmore of same here\nAbout this site\nAll rights are ours." for k in range(8))
+
+
 def test_names_after_long_class_lists():
     utility = " ".join(f"md:flex-{c}-long" for c in "abcdef")
     page = f"<body><div class='{utility} main'><p>one</p><div class='{utility} sidebar'>side</div><div class='{utility} comments'><p>hi</p></div><div class='{utility} intro'>two</div></div><div class='{utility} x'><p>{'outside ' * 20}</p></div>"
