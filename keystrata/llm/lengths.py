@@ -2,7 +2,7 @@
 
 Documents are counted by encoded length (partial counts leave each slice, so the shuffle holds
 one row per length and task at most). Suffix sums over the histogram answer totals, quantiles and
-truncated totals for each limit. Prefixes run inside blocks of lengths, with block totals added,
+truncated totals for each occurring length, and for any other limit by at_limits(). Prefixes run inside blocks of lengths, with block totals added,
 so no single task has to hold the histogram.
 """
 
@@ -57,6 +57,20 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     )
 
 
+def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
+    """limit_tokens, docs_longer, tokens_total, docs_total, tokens_up_to, tokens_truncated, tokens_lost of each given limit, as in suffix_sums().
+
+    Limits may lie between, below and beyond the occurring lengths; repeated ones give one row. An empty histogram gives
+    an empty result.
+    """
+    each = suffix_sums(hist).withColumn("limit", F.explode(F.array_distinct(F.array(*(F.lit(x).cast("long") for x in limits)))))
+    below = F.max(F.when(F.col("limit_tokens") <= F.col("limit"), F.struct("limit_tokens", "docs_longer", "tokens_up_to")))
+    rows = each.groupBy("limit").agg(below.alias("b"), F.max("tokens_total").alias("tokens_total"), F.max("docs_total").alias("docs_total"))
+    rows = rows.withColumns({"docs_longer": F.coalesce("b.docs_longer", "docs_total"), "tokens_up_to": F.coalesce("b.tokens_up_to", F.lit(0).cast("long"))})
+    kept = F.col("tokens_up_to") + F.col("docs_longer") * F.col("limit")
+    return rows.select(F.col("limit").alias("limit_tokens"), "docs_longer", "tokens_total", "docs_total", "tokens_up_to", kept.alias("tokens_truncated"), (F.col("tokens_total") - kept).alias("tokens_lost"))
+
+
 def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
     """share, n_tokens: the smallest length that at least this share of all documents doesn't exceed."""
     sums = suffix_sums(hist).select("limit_tokens", "share_of_docs")

@@ -334,6 +334,16 @@ def test_templates_of_one_host(spark):
     assert {r.page_id: r.text for r in html_extract.main_text(pages).collect()} == want
 
 
+def test_limits_between_lengths(spark):
+    lengths_ = [3] * 4 + [7] + [1500] * 2 + [5000]
+    hist = spark.createDataFrame(list(Counter(lengths_).items()), "n_tokens long, n_docs long")
+    limits = [1, 3, 5, 1024, 1500, 4096, 5000, 10_000, 1024]
+    got = {r.limit_tokens: (r.docs_longer, r.tokens_up_to, r.tokens_truncated, r.tokens_lost) for r in lengths.at_limits(hist, limits).collect()}
+    cut = {x: sum(min(n, x) for n in lengths_) for x in limits}
+    assert got == {x: (sum(n > x for n in lengths_), sum(n for n in lengths_ if n <= x), cut[x], sum(lengths_) - cut[x]) for x in limits}
+    assert lengths.at_limits(hist.limit(0), limits).count() == 0
+
+
 def test_constant_text_is_left_out(spark):
     """A host's fixed lines inside the article aren't article text; copies of one page keep theirs."""
     page = "<body><article><p>{0} story</p><p>more of {0} here</p><div class=about><p>About this site</p></div><p>All rights are ours.</p></article></body>"
