@@ -1,66 +1,21 @@
-"""Shared plumbing of the training-data operators: scratch tables, size-checked joins, batches.
-
-Scratch tables live in the folder named by ``spark.checkpoint.dir``, which every executor and the
-driver share. They cut lineage (a lost executor re-reads files instead of recomputing), and they
-go away when the driver ends or when an operator drops them.
-"""
+"""Shared plumbing of the training-data operators: size-checked joins, batches, and scratch tables from sources.scratch."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only when its counted rows are at most this many (ids: about 16 bytes each).
-BROADCAST_ROWS = 500_000
-
-_local_scratch: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder. Only where no folder is configured (tests) a local one is made."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not _local_scratch:
-        _local_scratch.append("file://" + tempfile.mkdtemp(prefix="keystrata-"))
-        atexit.register(_remove_tree, _local_scratch[0].removeprefix("file://"))
-    return _local_scratch[0]
-
-
-def _remove_tree(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
+from ..operators.relational import fits
+from ..sources.scratch import drop, materialize, new_path, shared_dir
 
+__all__ = ["arrow_batch", "attach", "drop", "id_filter", "materialize", "new_path", "row_hash", "shared_dir", "slices", "texts"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by materialize(); nothing may read it any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+#: A side is broadcast only when its counted rows are at most this many (ids: about 16 bytes each).
+BROADCAST_ROWS = 500_000
 
 
 def id_filter(df: DataFrame, ids: DataFrame, key: str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -74,16 +29,21 @@ def id_filter(df: DataFrame, ids: DataFrame, key: str, how: str, limit: int = BR
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
 
 
-def attach(df: DataFrame, params: DataFrame, keys: Sequence[str], rows: int, how: str = "left", salts: int = 16, limit: int = 20_000) -> DataFrame:
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's plain columns (maps have none, so nested columns are left out), the same whenever a task is run again."""
+    return F.xxhash64(F.lit(0), *(F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))))
+
+
+def attach(df: DataFrame, params: DataFrame, keys: Sequence[str], rows: int, how: str = "left", salts: int = 16, limit: int = 20_000, sized: bool = False) -> DataFrame:
     """Join a small parameter table (``rows`` rows, counted by the caller) to a large one.
 
-    Small tables are broadcast. Larger ones are repeated ``salts`` times and joined on a salt as
+    Small tables are broadcast; sized: only after their bytes were summed too, for values of any length. Larger ones are repeated ``salts`` times and joined on a salt as
     well, so that a key with a third of all rows is spread over that many tasks.
     """
-    if rows <= limit:
+    if rows <= limit and (not sized or fits(params, limit)):
         return df.join(F.broadcast(params), list(keys), how)
     salted = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", (F.rand(7) * salts).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+    return df.withColumn("_salt", F.pmod(row_hash(df), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def slices(batches: Iterable[pa.RecordBatch], size: Sequence[str], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common, tokens
+from . import common, tokens, workers
 
 COUNTS = pa.schema([("n_tokens", pa.int64()), ("n_docs", pa.int64())])
 BLOCK = 1024
@@ -24,6 +24,7 @@ def histogram(docs: DataFrame, tokenizer: str | None = None, text_col: str = "te
     """n_tokens (with the end id), n_docs. Null and empty texts have length 1; repeated rows count each."""
     path = tokenizer or tokens.default_path("byte_bpe_50k.json")
 
+    @workers.task("lengths")
     def run(batches):
         encode = tokens.encoder(path).encode
         for batch in common.slices(batches, ["text"]):

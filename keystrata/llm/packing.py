@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, tokens
+from . import common, tokens, workers
 
 SEQUENCE = 2048
 
@@ -36,17 +36,19 @@ def pieces(n: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", cache_words: int = tokens.CACHE_WORDS) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, bucket, sequence_id, offset.
 
     A null or empty text is the end id alone, one piece of length 1. Null ids are kept as null;
-    repeated rows are packed each. Other columns are ignored. An empty table gives an empty table.
+    repeated rows are packed each. Other columns are ignored. An empty table gives an empty table. cache_words: words
+    whose ids a worker remembers (about 250 bytes each); results don't depend on it.
     """
     path = tokenizer or tokens.default_path("byte_bpe_50k.json")
     pieces(0, sequence)
 
+    @workers.task("packing")
     def run(batches):
-        encode = tokens.encoder(path).encode
+        encode = tokens.encoder(path, cache_words).encode
         end = tokens.END_ID.to_bytes(4, "little")
         for batch in common.slices(batches, ["text"]):
             out = []

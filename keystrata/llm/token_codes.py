@@ -5,20 +5,21 @@ ids that have one; a bitmap at each level says which ids go on to the next, and
 counts its ones before every 512 bits. So the id at any position is found with one rank per level
 and without decoding a block.
 
-A code file is a Parquet folder sorted by shard and document id: one row per document with its code as
-one binary value (written and read by Spark, so any file system that Spark knows will do).
+A code file is a Parquet folder in ascending order of document ids, its part files being ranges of ids: one row per
+document with its code as one binary value (written and read by Spark, so any file system that Spark knows will do).
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common, tokens
+from . import common, tokens, workers
 
 MAGIC = b"DAC1"
 #: Bits of the chunk levels, 32 in all. Most ids of a 49k vocabulary need one or two levels.
@@ -48,6 +49,29 @@ def encode(ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> bytes:
     return b"".join([_HEAD.pack(MAGIC, len(ids), levels), *parts])
 
 
+def encode_many(ids: list[np.ndarray]) -> list[bytes]:
+    """encode() of many arrays with WIDTHS; ids of 16 bits are split all at once."""
+    if not ids:
+        return []
+    whole = np.concatenate(ids)
+    if len(whole) and whole.max() >= 1 << 16:
+        return [encode(x) for x in ids]
+    low, high = whole.astype(np.uint8), (whole >> 8).astype(np.uint8)
+    more = high > 0
+    next_, ones = high[more], np.concatenate(([0], np.cumsum(more)))
+    ends = np.cumsum([len(x) for x in ids]).tolist()
+    counts = ones[[0, *ends]].tolist()
+    out, a = [], 0
+    for k, b in enumerate(ends):
+        first, last = counts[k], counts[k + 1]
+        parts = [_HEAD.pack(MAGIC, b - a, 1 + (last > first)), _LEVEL.pack(b - a, 8, last == first), low[a:b].tobytes()]
+        if last > first:
+            parts += [np.packbits(more[a:b], bitorder="little").tobytes(), (ones[a:b:RANK_BITS] - first).astype("<u4").tobytes(), _LEVEL.pack(last - first, 8, True), next_[first:last].tobytes()]
+        out.append(b"".join(parts))
+        a = b
+    return out
+
+
 class Code:
     """Random access to the ids of one code."""
 
@@ -89,38 +113,41 @@ class Code:
 
     def decode(self) -> np.ndarray:
         """All ids at once."""
-        out = np.zeros(self.n, np.uint64)
-        where, shift = np.arange(self.n), 0
+        out = np.zeros(self.n, "<u4")
+        where, shift = slice(None), 0
         for width, chunk, bits, _ in self.levels:
-            out[where] |= chunk.astype(np.uint64) << np.uint64(shift)
+            out[where] |= chunk.astype("<u4") << np.uint32(shift)
             shift += width
             if bits is not None:
-                where = where[np.unpackbits(bits, count=len(where), bitorder="little").astype(bool)]
-        return out.astype("<u4")
+                on = np.flatnonzero(np.unpackbits(bits, count=len(chunk), bitorder="little"))
+                where = on if isinstance(where, slice) else where[on]
+        return out
 
 
-CODES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("code", pa.binary())])
+CODES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("code", pa.binary())])
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens (with the end id), code. Null texts count as empty; a null id stays null."""
+    """doc_id, n_tokens (with the end id), ids_crc32, code. Null texts count as empty; a null id stays null."""
     path = tokenizer or tokens.default_path("word_bpe_49k.json")
 
+    @workers.task("token codes")
     def run(batches):
         encode_texts = tokens.encoder(path).encode
         end = tokens.END_ID.to_bytes(4, "little")
         for batch in common.slices(batches, ["text"]):
-            ids = [np.frombuffer(x + end, "<u4") for x in encode_texts(batch.column("text").to_pylist())]
-            yield common.arrow_batch(CODES, doc_id=batch.column("id").to_pylist(), n_tokens=[len(x) for x in ids], code=[encode(x) for x in ids])
+            found = [x + end for x in encode_texts(batch.column("text").to_pylist())]
+            codes = encode_many([np.frombuffer(x, "<u4") for x in found])
+            yield common.arrow_batch(CODES, doc_id=batch.column("id").to_pylist(), n_tokens=[len(x) // 4 for x in found], ids_crc32=list(map(zlib.crc32, found)), code=codes)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, code binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, code binary")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode documents and write their codes in ascending order of ids.
+    """Encode documents and write their codes in ascending order of ids, ties by length, then by checksum.
 
-    Shards are ranges of ids. Their bounds come from quantiles of the id column alone, so texts
-    are read and encoded once; null ids come first. shards: by default the session's number of
+    Shards are ranges of ids and become part files in their order. Their bounds come from quantiles of the id column
+    alone, so texts are read and encoded once; null ids come first. shards: by default the session's number of
     shuffle partitions.
     """
     spark = docs.sparkSession
@@ -131,13 +158,14 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, shards: int
     cuts = F.array(*(F.lit(b).cast("long") for b in bounds))
     codes = encode_documents(docs, tokenizer, id_col, text_col)
     codes = codes.withColumn("shard", F.coalesce(F.size(F.filter(cuts, lambda b: b < F.col("doc_id"))), F.lit(0)))
-    codes.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id").write.mode("overwrite").parquet(path)
+    codes.repartitionById(shards, F.col("shard")).sortWithinPartitions("doc_id", "n_tokens", "ids_crc32").write.mode("overwrite").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """shard, doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded from a code file."""
     schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
+    @workers.task("token codes")
     def run(batches):
         for batch in common.slices(batches, ["code"]):
             ids = [Code(x).decode().tobytes() for x in batch.column("code").to_pylist()]
