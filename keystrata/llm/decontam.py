@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, words
+from . import common, words, workers
 
 WINDOW, CLASSES, ERRORS = 16, 4, 2
 SHORT_WINDOW, SHORT_ERRORS = 8, 1
@@ -93,6 +93,7 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"piece": table.column("piece")[:1], "bits": pa.array([out.tobytes()], pa.binary())})
 
 
+@workers.task("decontamination")
 def _verified(batches):
     """Hits whose windows differ in no more words than allowed."""
     for batch in batches:
@@ -119,6 +120,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     masks = frozenset(r.mask for r in known.select("mask").distinct().collect())
     shared = docs.sparkSession.sparkContext.broadcast(whole)
 
+    @workers.task("decontamination")
     def run(batches):
         return _windows(batches, shared.value, masks)
 

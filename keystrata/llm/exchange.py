@@ -3,7 +3,8 @@
 Pairs travel as packed binary columns, a few rows for each task and part instead of a row for each
 pair. Parts are residues of the fingerprint, so they're even whatever the documents are; within a
 task, equal pairs are sent once. A part is worked on as numpy arrays; it holds all pairs divided by the
-number of parts, which follows the session's shuffle partitions.
+number of parts, which is a multiple of the session's shuffle partitions, so that a partition's parts come one by one
+and partitions are even.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import workers
+
 #: Pairs that a task holds before it sends them on.
-FLUSH = 1_000_000
+FLUSH = 500_000
+#: Parts for each shuffle partition.
+PARTS = 4
 PACKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
 PACKED_DDL = "part int, keys binary, docs binary"
 BY_DOC = pa.schema([("doc", pa.int64()), ("keys", pa.binary())])
@@ -25,7 +30,7 @@ Pairs = tuple[np.ndarray, np.ndarray]
 
 
 def parts_of(spark: SparkSession) -> int:
-    return max(24, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return PARTS * max(24, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def pack(stream: Iterable[Pairs], parts: int, by_doc: bool = False) -> Iterator[pa.RecordBatch]:
@@ -73,7 +78,7 @@ def sorted_groups(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys, docs, np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
 
 
-def answers(packed: DataFrame, select: Callable[[np.ndarray, np.ndarray], Pairs], parts: int) -> DataFrame:
+def answers(packed: DataFrame, select: Callable[[np.ndarray, np.ndarray], Pairs], parts: int, owner: str) -> DataFrame:
     """(doc, keys): for each document the fingerprints (ascending, 64-bit) that ``select`` keeps.
 
     select gets the distinct pairs of a part, all pairs of a fingerprint together, and returns pairs.
@@ -91,4 +96,4 @@ def answers(packed: DataFrame, select: Callable[[np.ndarray, np.ndarray], Pairs]
         rows = [keys[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(docs)], strict=True)]
         return pa.table({"doc": pa.array(docs[cuts], pa.int64()), "keys": pa.array(rows, pa.binary())}, schema=BY_DOC)
 
-    return packed.groupBy("part").applyInArrow(meet, PACKED_DDL).groupBy("part").applyInArrow(gather, BY_DOC_DDL)
+    return packed.groupBy("part").applyInArrow(workers.group(owner)(meet), PACKED_DDL).groupBy("part").applyInArrow(workers.group(owner)(gather), BY_DOC_DDL)

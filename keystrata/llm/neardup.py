@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, exchange, words
+from . import common, exchange, words, workers
 
 SHINGLE, PERCENT = 5, 85
 #: DISTANCE is what CHUNKS chunks with one difference each guarantee.
@@ -65,6 +65,7 @@ def signatures_of(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc[starts], sizes, sets, sign
 
 
+@workers.task("near duplicates")
 def _signed(batches):
     for batch in common.slices(batches, ["text"]):
         n = batch.num_rows
@@ -93,6 +94,7 @@ def _keys(batches):
 STAR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+@workers.group("near duplicates")
 def _meet(table: pa.Table) -> pa.Table:
     """Pairs of each bucket's smallest member with its others."""
     keys, docs, group = exchange.sorted_groups(*exchange.unpack(table))
@@ -158,6 +160,7 @@ def forest(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(smallest[roots], own, strict=True) if a != b]
 
 
+@workers.group("near duplicates")
 def _compare(table: pa.Table) -> pa.Table:
     ids = np.asarray(table.column("id"))
     pairs = forest(ids, [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()])
@@ -165,6 +168,7 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=STAR)
 
 
+@workers.task("near duplicates")
 def _sets(batches):
     for batch in common.slices(batches, ["text"]):
         ids = np.asarray(batch.column("doc"))
@@ -207,12 +211,13 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, component) of classes with links."""
     parts = exchange.parts_of(docs.sparkSession)
-    packed = classes.select("id", "signature").mapInArrow(lambda b: exchange.pack(_keys(b), parts), exchange.PACKED_DDL)
+    packed = classes.select("id", "signature").mapInArrow(workers.task("near duplicates")(lambda b: exchange.pack(_keys(b), parts)), exchange.PACKED_DDL)
     star = packed.groupBy("part").applyInArrow(_meet, "a long, b long")
     # A class is in 64 buckets, so it has at most 64 hubs: it is tied to the smallest, and so are the others.
     tied = common.materialize(star.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("hubs")), "tied")
     hubs = tied.select("a", F.explode("hubs").alias("b")).where("a <> b").distinct()
     clusters = components(tied.select("a", "b").unionByName(hubs))
+    common.drop(tied)
     sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = common.materialize(clusters.withColumnRenamed("component", "cluster").join(sizes, "cluster"), "members")
     near = common.id_filter(docs, members.select(F.col("id").alias("doc")), "doc", "left_semi")
@@ -222,7 +227,9 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     dealt = sets.select("id", "shingles", "cluster", "blocks", block.alias("own"), other.alias("other"))
     dealt = dealt.select("id", "shingles", "cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     links = dealt.groupBy("cluster", "x", "y").applyInArrow(_compare, "a long, b long")
-    return components(links)
+    out = components(links)
+    common.drop(members)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common, words
+from . import common, words, workers
 
 #: Share of a group's rows that the estimate rests on, and concentration steps.
 SUPPORT, STEPS = 0.75, 4
@@ -81,6 +81,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``row`` (a struct of all columns of docs, untouched) and COUNTS of each text; null counts as empty."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
+    @workers.task("quality")
     def run(batches):
         for batch in batches:
             text = pc.struct_field(batch.column("row"), text_col)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, exchange, words
+from . import common, exchange, words, workers
 
 WINDOW = 13
 _U = np.uint64
@@ -130,11 +130,11 @@ def repeated_windows(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """
     parts = exchange.parts_of(docs.sparkSession)
     docs = docs.where("doc is not null and text is not null")
-    packed = docs.mapInArrow(lambda batches: exchange.pack(_symbol_pairs(batches, n), parts), exchange.PACKED_DDL)
-    revealed = common.materialize(exchange.answers(packed, _shared, parts), "symbols")
+    packed = docs.mapInArrow(workers.task("substring")(lambda batches: exchange.pack(_symbol_pairs(batches, n), parts)), exchange.PACKED_DDL)
+    revealed = common.materialize(exchange.answers(packed, _shared, parts, "substring"), "symbols")
     near = common.id_filter(docs, revealed, "doc", "left_semi").join(revealed, "doc")
-    packed = near.mapInArrow(lambda batches: exchange.pack(_window_pairs(batches, n), parts), exchange.PACKED_DDL)
-    found = common.materialize(exchange.answers(packed, _later, parts), "windows")
+    packed = near.mapInArrow(workers.task("substring")(lambda batches: exchange.pack(_window_pairs(batches, n), parts)), exchange.PACKED_DDL)
+    found = common.materialize(exchange.answers(packed, _later, parts, "substring"), "windows")
     common.drop(revealed)
     return found
 
@@ -151,6 +151,7 @@ def _covered(w: words.Words, sets: list[bytes | None], n: int) -> np.ndarray:
     return np.cumsum(change)[: len(w.hashes)] > 0
 
 
+@workers.task("substring")
 def _cut(batches, n: int, digest: bool):
     for batch in common.slices(batches, ["text"]):
         docs = common.texts(batch, "text")

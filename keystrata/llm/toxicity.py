@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, workers
 
 TRAIN_TOXIC, TRAIN_OTHER, LEXICON = 4000, 6000, 6000
 FEW_TOXIC = 300
@@ -215,6 +215,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     model = train(docs, labels, id_col, text_col)
 
+    @workers.task("toxicity")
     def run(batches):
         reader = Reader(model[0] if model else {})
         for batch in common.slices(batches, ["text"], 1 << 22):

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from . import workers
+
 U = np.uint64
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,6 +39,14 @@ def _power_tables(n: int) -> np.ndarray:
     return _powers
 
 
+def _forget() -> None:
+    global _powers
+    _powers = np.ones((2, 1), np.uint64)
+
+
+workers.keeps(_forget)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values in which every input bit reaches every output bit."""
     h = h ^ (h >> U(32))
