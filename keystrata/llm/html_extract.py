@@ -13,10 +13,13 @@ elements is constant and is left out, unless it makes up most of a page's articl
 Every task aligns the pages that it reads and sends one small wrapper for each host, so a host with a
 third of all pages sends as many rows as there are tasks; they are merged in two steps. Wrappers are
 joined back to pages by host (broadcast if few, else salted).
+
+Elements nested deeper than DEEPEST keep their text, in page order, as children of the element at that depth.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import json
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, workers
 
 #: Elements that don't part text, that never have content, and whose content isn't markup.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -42,7 +45,13 @@ NOT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist reply replies "
     "discussion disqus notice notices alert cookie cookies consent popup modal overlay newsletter subscribe signup login search share sharing social related recommended pagination pager toolbar copyright legal".split()
 )
-_TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<)))", re.S)
+#: Words that make a class name tell of the element's surroundings, not of the element: no-comments, has-sidebar.
+ABOUT = frozenset("no has with without is not hide hidden".split())
+#: A tag's attributes: quoted values don't hold markup, or end where a value may end; with an unclosed quote the tag ends at the first >.
+_TAG = re.compile(
+    r"<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z))*(?:>|\Z|(?=<))|[^<>]*(?:>|\Z|(?=<))))",
+    re.S,
+)
 _NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _raw_end: dict[str, re.Pattern] = {}
@@ -57,6 +66,10 @@ LEAST_OWN = 0.3
 #: A constant text is on at least so many pages, and on this share of those with text at its path. Groups of near
 #: copies share text as well, on fewer pages.
 LEAST_PAGES, LEAST_SHARE = 4, 0.9
+#: Nested elements with nodes of their own, and cells of the exact table of an alignment.
+DEEPEST, CELLS = 100, 250_000
+#: A form with this share of a host's text is the page's frame (pages that are one form), not a form in it.
+FRAME_SHARE = 0.5
 
 
 def host_of(url: str | None) -> str:
@@ -76,12 +89,22 @@ def parse(page: str) -> list:
     """A tolerant tree of block elements and text slots; inline elements leave their text only."""
     root: list = ["", [], 0]
     stack, text, links, in_link = [root], [], 0, False
+    deep: list[str] = []  # symbols of open elements below DEEPEST; each piece of them is a child of the last node on the stack
+
+    def deeper() -> list:
+        """Where text goes now: below DEEPEST into a node with the symbol of the barred element around, or else the innermost."""
+        if deep:
+            stack[DEEPEST][1].append([next((s for s in deep if _barred(s, True)), deep[-1]), [], 0])
+            return stack[DEEPEST][1][-1]
+        return stack[-1]
+
+    here = root
 
     def flush() -> None:
         nonlocal text, links
         whole = " ".join(html.unescape("".join(text)).split()) if text else ""
         if whole:
-            stack[-1][1].append([SLOT, whole, min(links, len(whole))])
+            here[1].append([SLOT, whole, min(links, len(whole))])
         text, links = [], 0
 
     def add(part: str) -> None:
@@ -111,9 +134,15 @@ def parse(page: str) -> list:
             if tag in INLINE:
                 continue
             flush()
-            if any(node[0].partition(".")[0] == tag for node in stack[1:]):
+            if any(s.partition(".")[0] == tag for s in deep):
+                while deep.pop().partition(".")[0] != tag:
+                    pass
+                here = deeper()
+            elif any(node[0].partition(".")[0] == tag for node in stack[1:]):
+                deep.clear()
                 while stack.pop()[0].partition(".")[0] != tag:
                     pass
+                here = stack[-1]
             continue
         if tag in RAW:
             flush()
@@ -128,17 +157,27 @@ def parse(page: str) -> list:
             continue
         flush()
         closes = CLOSES.get(tag, ())
-        for depth in range(len(stack) - 1, 0, -1):
+        if deep and (deep[-1].partition(".")[0] in closes or deep[-1].partition(".")[0] == "p" and tag in ENDS_P):
+            deep.pop()
+        for depth in range(len(stack) - 1, 0, -1) if not deep else ():
             name = stack[depth][0].partition(".")[0]
             if name in closes or name == "p" and tag in ENDS_P:
                 del stack[depth:]
                 break
             if name not in ("p", "td", "th") or name in ("td", "th") and tag not in ("td", "th", "tr"):
                 break
-        node = [symbol(tag, m[3]), [], 0]
+        own = symbol(tag, m[3])
+        closed = tag in VOID or m[3].rstrip(">").rstrip().endswith("/")
+        if len(stack) > DEEPEST:
+            if not closed:
+                deep.append(own)
+            here = deeper()
+            continue
+        node = [own, [], 0]
         stack[-1][1].append(node)
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
+        if not closed:
             stack.append(node)
+        here = stack[-1]
     flush()
     return root
 
@@ -186,7 +225,12 @@ def fold(children: list) -> list[tuple[str, list[list]]]:
 
 
 def align(left: list[str], right: list[str]) -> list[tuple[int, int]]:
-    """Longest common subsequence of two symbol sequences, as index pairs."""
+    """Longest common subsequence of two symbol sequences, as index pairs.
+
+    Where the exact table would have more than CELLS cells, symbols that stand once on either side are matched first,
+    as many as can be in order, and what lies between them is aligned; without such symbols each left symbol
+    takes its next place on the right.
+    """
     pairs, a, b = [], 0, 0
     while a < len(left) and b < len(right) and left[a] == right[b]:
         pairs.append((a, b))
@@ -197,7 +241,9 @@ def align(left: list[str], right: list[str]) -> list[tuple[int, int]]:
         c, d = c - 1, d - 1
         tail.append((c, d))
     x, y = left[a:c], right[b:d]
-    if x and y:
+    if len(x) * len(y) > CELLS:
+        pairs += [(a + i, b + j) for i, j in _by_anchors(x, y)]
+    elif x and y:
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i in range(len(x) - 1, -1, -1):
             for j in range(len(y) - 1, -1, -1):
@@ -214,6 +260,41 @@ def align(left: list[str], right: list[str]) -> list[tuple[int, int]]:
     return pairs + tail[::-1]
 
 
+def _by_anchors(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Common symbols of two long sequences in order, in nearly linear time."""
+    once = [{s: k for k, s in enumerate(z) if n[s] == 1} for z, n in ((x, Counter(x)), (y, Counter(y)))]
+    both = sorted((k, once[1][s]) for s, k in once[0].items() if s in once[1])
+    ends: list[int] = []  # the longest rising chain of places in y
+    last, before = [], []
+    for k, (_, j) in enumerate(both):
+        at = bisect.bisect_left(ends, j)
+        before.append(last[at - 1] if at else None)
+        ends[at : at + 1], last[at : at + 1] = [j], [k]
+    chain, k = [], last[-1] if last else None
+    while k is not None:
+        chain.append(both[k])
+        k = before[k]
+    if chain:
+        out, i, j = [], 0, 0
+        for p, q in [*chain[::-1], (len(x), len(y))]:
+            out += [(i + u, j + v) for u, v in align(x[i:p], y[j:q])]
+            if p < len(x):
+                out.append((p, q))
+            i, j = p + 1, q + 1
+        return out
+    places: dict[str, list[int]] = {}
+    for j, s in enumerate(y):
+        places.setdefault(s, []).append(j)
+    out, j = [], 0
+    for i, s in enumerate(x):
+        own = places.get(s, [])
+        at = bisect.bisect_left(own, j)
+        if at < len(own) and own[at] - j <= len(x) - i:  # a far place would leave the rest unmatched
+            out.append((i, own[at]))
+            j = own[at] + 1
+    return out
+
+
 def _wrap(name: str, instances: list) -> list:
     """A wrapper node from the instances of one folded part of a page."""
     node = [name, len(instances) > 1, False, [], [0, 0]]
@@ -280,7 +361,13 @@ def _barred(name: str, inside: bool) -> bool:
     tag, _, rest = name.partition(".")
     if tag in NOT_TEXT or tag == "header" and not inside:
         return True
-    parts = set(re.split(r"[^a-z]+", rest))
+    if tag in ("html", "body"):  # their classes tell what a page has
+        return False
+    parts: set[str] = set()
+    for one in re.split(r"[.\s]+", rest):
+        own = [x for x in re.split(r"[^a-z]+", one) if x]
+        # An article or main element is barred by a whole name only: article.comment, not article.comment-count.
+        parts.update(own if own and own[0] not in ABOUT and (tag not in ("article", "main") or len(own) == 1) else ())
     return bool(parts & NOT_WORDS) or not inside and bool(parts & {"header", "masthead", "top"})
 
 
@@ -299,10 +386,23 @@ def regular_expression(nodes: list) -> str:
 def choose(nodes: list) -> list:
     """A plan that mirrors the wrapper: [symbol, kind, children, weight]; a slot's weight is its text that isn't link text.
 
-    What is taken is decided for each page by the part of the plan that it reaches, see extract().
+    What is taken is decided for each page by the part of the plan that it reaches, see extract(). A form around most of
+    the host's text is a frame like any other element.
     """
+    held: dict[int, int] = {}
+
+    def hold(node: list) -> int:
+        held[id(node)] = max(0, node[4][0] - 2 * node[4][1]) + sum(map(hold, node[3]))
+        return held[id(node)]
+
+    return _planned(nodes, held, FRAME_SHARE * max(1, sum(map(hold, nodes))))
+
 
-    def kind(name: str) -> int:
+def _planned(nodes: list, held: dict[int, int], most: float) -> list:
+    def kind(node: list) -> int:
+        name = node[0]
+        if name.partition(".")[0] == "form" and held[id(node)] > most:
+            name = "div"
         if name == SLOT or name.startswith(GROUP):
             return PLAIN
         if _barred(name, True):
@@ -312,7 +412,7 @@ def choose(nodes: list) -> list:
         tag, _, rest = name.partition(".")
         return ARTICLE if tag in ("article", "main") or tag in ("div", "section", "td") and set(re.split(r"[^a-z]+", rest)) & {"article", "main"} else PLAIN
 
-    return [[n[0], kind(n[0]), choose(n[3]), n[4][0] - 2 * n[4][1]] for n in nodes]
+    return [[n[0], kind(n), _planned(n[3], held, most), n[4][0] - 2 * n[4][1]] for n in nodes]
 
 
 def _reached(parts: list, nodes: list, path: str = "") -> list:
@@ -383,7 +483,8 @@ def extract(page: str, plan: list, constant: frozenset[int] = frozenset()) -> st
     def heaviest(parts: dict, share: dict) -> int | None:
         best = max((k for k, x in parts.items() if x[0][0][0] != SLOT), key=share.get, default=None)
         total = sum(share.values())
-        if best is None or total == 0 or share[best] < 0.7 * total or parts[best][0][0][0].partition(".")[0] in ("p", "ul", "ol", "table", "pre", "blockquote", "dl"):
+        name = parts[best][0][0][0] if best is not None else ""
+        if best is None or total == 0 or share[best] < 0.7 * total or name.startswith(GROUP) or name.partition(".")[0] in ("p", "ul", "ol", "table", "pre", "blockquote", "dl"):
             return None
         return best
 
@@ -422,6 +523,7 @@ TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.st
 def infer(pages: DataFrame) -> DataFrame:
     """(host, plan, constant) from pages (page_id, url, html); none for pages without a host."""
 
+    @workers.task("pages")
     def local(batches):
         held: dict[str, list] = {}
         seen: Counter = Counter()
@@ -477,6 +579,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     plans = common.materialize(infer(rows), "wrappers")
     host = F.coalesce(F.lower(F.regexp_extract("url", _HOST.pattern, 1)), F.lit(""))
 
+    @workers.task("pages")
     def run(batches):
         known: dict[str, tuple] = {}
         for batch in common.slices(batches, ["html"], 1 << 22):
@@ -493,5 +596,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 out.append(extract(page or "", *known[host]))
             yield common.arrow_batch(TEXTS, page_id=batch.column("page_id").to_pylist(), url=batch.column("url").to_pylist(), text=out)
 
-    joined = common.attach(rows.withColumn("host", host), plans, ["host"], plans.count(), limit=2000)
+    joined = common.attach(rows.withColumn("host", host), plans, ["host"], plans.count(), limit=2000, sized=True)
     return joined.select("page_id", "url", "html", "plan", "constant").mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
