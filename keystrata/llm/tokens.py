@@ -21,7 +21,7 @@ from . import workers
 
 END_ID = 1
 #: Words kept by a worker, in two generations of half as many, and the longest that it keeps.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
 #: Characters for which Python and the library agree on classes and lower case.
 _PLAIN = regex.compile(r"[\x21-\x7e\n\t ¡-¬®-ſ]*")
 _SIGNS = ".,!?;:"
@@ -75,11 +75,24 @@ class PieceEncoder:
         self.letters = _byte_letters()
         self.packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
         #: Ids of words after a space; of words at the start of a text or line; of parts of these.
-        self.words = _Cache(lambda word: self._piece(word, " "), most)
+        self.words = _Cache(self._quick(), most)
         self.firsts = self.words if self.lower else _Cache(lambda word: self._piece(word, ""), most // 8)
         self.parts = _Cache(self._part, most // 4)
         self.line_end = b"" if self.lower else self._part("\n")
 
+    def _quick(self) -> Callable[[str], bytes]:
+        """Ids of a word after a space; most new words are plain letters and are handled here."""
+        tokenize, packers, lower, whole = self.model.tokenize, self.packers, self.lower, self._piece
+        space = "" if lower else self.letters[32]
+
+        def ids_of(word: str) -> bytes:
+            if len(word) < 60 and word.isascii() and word.isalpha():
+                ids = [t.id for t in tokenize(word.lower() if lower else space + word)]
+                return packers[len(ids)](*ids)
+            return whole(word, " ")
+
+        return ids_of
+
     def _encode(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
