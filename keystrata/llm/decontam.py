@@ -4,8 +4,8 @@ A window of 16 words is hashed under six fixed masks. Positions fall into four c
 modulo 4, and a mask ignores two of the classes, so whichever two words of a window are
 substituted, some mask sees none of them: all overlaps with at most two substitutions are found.
 Benchmark items of 8 to 15 words are found by windows of 8 words, exactly, and by windows of their own
-length with at most one substitution, one of whose halves has none. Runs of fewer than 16 words
-of longer items don't count.
+length with at most one substitution, one of whose halves has none; items of 5 to 7 words by exact windows of their
+own length. Runs of fewer than 16 words of longer items don't count, and items of fewer than 5 words are common phrases.
 
 Training windows are first held against a bitmap of the benchmark's hashes. Its size is a constant,
 so it may be broadcast whatever the benchmark; what passes (true hits and a few strays) is joined
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common, words, workers
 
 WINDOW, CLASSES, ERRORS = 16, 4, 2
-SHORT_WINDOW, SHORT_ERRORS = 8, 1
+SHORT_WINDOW, SHORT_ERRORS, LEAST_WORDS = 8, 1, 5
 #: Bits of the benchmark's bitmap: 2 MB, always.
 BITMAP_BITS = 24
 
@@ -33,8 +33,8 @@ _U = np.uint64
 MASKS = tuple(tuple(p for p in range(WINDOW) if p % CLASSES not in gone) for gone in itertools.combinations(range(CLASSES), 2))
 #: Halves of an item of 8 to 15 words: whichever word is substituted, one half doesn't have it.
 HALVES = tuple((size, half) for size in range(SHORT_WINDOW, WINDOW) for half in (tuple(range(size // 2)), tuple(range(size // 2, size))))
-#: Words of a window, positions that are hashed, substitutions allowed: windows of long items, of short items without gaps, whole short items.
-SEEDS = (*((WINDOW, mask, ERRORS) for mask in MASKS), (SHORT_WINDOW, tuple(range(SHORT_WINDOW)), 0), *((*x, SHORT_ERRORS) for x in HALVES))
+#: Words of a window, positions that are hashed, substitutions allowed: windows of long items, of short items without gaps, whole short items, whole shorter ones.
+SEEDS = (*((WINDOW, mask, ERRORS) for mask in MASKS), (SHORT_WINDOW, tuple(range(SHORT_WINDOW)), 0), *((*x, SHORT_ERRORS) for x in HALVES), *((n, tuple(range(n)), 0) for n in range(LEAST_WORDS, SHORT_WINDOW)))
 _STEP = np.random.default_rng(88).integers(1, 1 << 63, (len(SEEDS), WINDOW), dtype=np.uint64) * _U(2) + _U(1)
 
 HITS = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("mask", pa.int32()), ("hash", pa.int64()), ("window", pa.binary())])
@@ -108,7 +108,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """(doc_id, at, item_id): document windows (first word) within the allowed substitutions of a window of an item.
 
     Words are runs without white space, with A-Z lower-cased. Null ids and texts give none. Items of
-    fewer than 8 words can't be told from chance and give none.
+    fewer than 5 words can't be told from chance and give none.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("doc"), F.col(item_text_col).alias("text")).where("doc is not null and text is not null")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
@@ -139,7 +139,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = overlaps(docs, benchmark, id_col, **names)
     by_doc = found.groupBy("doc_id").agg(F.countDistinct("at").alias("n_windows"), F.array_join(F.array_sort(F.collect_set("item_id")).cast("array<string>"), ",").alias("item_ids"))
     by_doc = common.materialize(by_doc, "contaminated")
-    rows = common.attach(docs.select(F.col(id_col).cast("long").alias("doc_id")), by_doc, ["doc_id"], by_doc.count(), limit=common.BROADCAST_ROWS)
+    rows = common.attach(docs.select(F.col(id_col).cast("long").alias("doc_id")), by_doc, ["doc_id"], by_doc.count(), limit=common.BROADCAST_ROWS, sized=True)
     hit = F.col("n_windows").isNotNull()
     return rows.select("doc_id", F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("item_ids", F.lit("")).alias("item_ids"), hit.alias("contaminated"), (~hit).alias("kept"))
 
