@@ -36,8 +36,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of power-of-two lengths, with their ids."""
-    return packing.pack(docs)
+    """Token pieces of power-of-two lengths, with their ids. Workers remember few words, as executors are full by now."""
+    return packing.pack(docs, cache_words=100_000)
 
 
 STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("pii", personal_data), ("packing", pack)]
@@ -50,5 +50,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *first, (_, last) = STAGES
     for name, stage in first:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.drop(before)
     return last(spark, docs, sf_dir)
