@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.relational import fits
-from ..sources.scratch import drop, materialize, new_path, shared_dir
+from ..sources.scratch import drop, forget, materialize, new_path, shared_dir
 
-__all__ = ["arrow_batch", "attach", "drop", "id_filter", "materialize", "new_path", "row_hash", "shared_dir", "slices", "texts"]
+__all__ = ["arrow_batch", "attach", "drop", "forget", "id_filter", "materialize", "new_path", "row_hash", "shared_dir", "slices", "texts"]
 
 #: A side is broadcast only when its counted rows are at most this many (ids: about 16 bytes each).
 BROADCAST_ROWS = 500_000
