@@ -88,7 +88,7 @@ def _keys(batches):
             parts = [words.mix((sign[:, s] + _U(1)) * _MULTIPLY[s]) for s in chunk]
             whole = np.sum(parts, axis=0, dtype=np.uint64)
             for s, part in zip(chunk, parts, strict=True):
-                yield words.mix((whole - part) ^ _FLIP[s]), ids
+                yield words.mix((whole - part) ^ _FLIP[s]), ids, exchange.NARROW
 
 
 STAR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -97,7 +97,7 @@ STAR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 @workers.group("near duplicates")
 def _meet(table: pa.Table) -> pa.Table:
     """Pairs of each bucket's smallest member with its others."""
-    keys, docs, group = exchange.sorted_groups(*exchange.unpack(table))
+    keys, docs, _, group = exchange.sorted_groups(*exchange.unpack(table))
     cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(keys) else np.empty(0, np.int64)
     hub = np.repeat(docs[cuts], np.diff(np.concatenate((cuts, [len(keys)]))))
     pairs = np.unique(np.stack([hub, docs], axis=1)[hub < docs], axis=0) if len(keys) else np.empty((0, 2), np.int64)

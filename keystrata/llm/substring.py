@@ -8,8 +8,8 @@ their interior: only a symbol at either end can depend on what stands around.
 
 Two rounds leave every window of 13 words at least one symbol that is certain. The longest (then
 largest) of them stands for the window. Symbols that stand in two documents reveal where repeats
-can be; only windows around them are compared, by a fingerprint of all their words.
-Fingerprints have 64 bits: among n windows about n*n / 2**65 pairs agree by chance.
+can be; only windows around them are compared, by a fingerprint of all their words in order. It has 80 bits from
+two hashes of each word: among n windows about n*n / 2**81 pairs agree by chance, some 40 among 10**13 windows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 from . import common, exchange, words, workers
 
 WINDOW = 13
+#: Bytes of a symbol that are sent: they only say which windows are looked at again.
+REVEAL_BYTES = 6
 _U = np.uint64
+_REVEAL = _U((1 << 8 * REVEAL_BYTES) - 1)
+_FURTHER = _U(0x2545F4914F6CDD1D)
 _RUN, _LEFT, _RIGHT = _U(0x5851F42D4C957F2D), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 
 
@@ -71,36 +75,45 @@ def window_symbols(w: words.Words, n: int = WINDOW) -> tuple[np.ndarray, np.ndar
     return p, words.mix(best)
 
 
-def _shared(keys: np.ndarray, docs: np.ndarray) -> exchange.Pairs:
+def _shared(keys: np.ndarray, docs: np.ndarray, more: np.ndarray) -> exchange.Pairs:
     """Pairs whose fingerprint stands in two documents or more."""
-    keys, docs, group = exchange.sorted_groups(keys, docs)
+    keys, docs, more, group = exchange.sorted_groups(keys, docs, more)
     if not len(keys):
-        return keys, docs
+        return keys, docs, more
     low, high = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, np.iinfo(np.int64).min)
     np.minimum.at(low, group, docs)
     np.maximum.at(high, group, docs)
     keep = (low < high)[group]
-    return keys[keep], docs[keep]
+    return keys[keep], docs[keep], more
 
 
-def _later(keys: np.ndarray, docs: np.ndarray) -> exchange.Pairs:
+def _later(keys: np.ndarray, docs: np.ndarray, more: np.ndarray) -> exchange.Pairs:
     """Pairs whose fingerprint also stands in a smaller document."""
-    keys, docs, group = exchange.sorted_groups(keys, docs)
+    keys, docs, more, group = exchange.sorted_groups(keys, docs, more)
     if not len(keys):
-        return keys, docs
+        return keys, docs, more
     firsts = docs[np.searchsorted(group, np.arange(group[-1] + 1))]
     keep = docs > firsts[group]
-    return keys[keep], docs[keep]
+    return keys[keep], docs[keep], more[keep]
 
 
-def _member(values: np.ndarray, w: words.Words, at: np.ndarray, sets: list[bytes | None]) -> np.ndarray:
-    """Which windows' values are in their own document's set (ascending 64-bit values)."""
+def further_bits(w: words.Words, at: np.ndarray, n: int) -> np.ndarray:
+    """16 bits of the windows of n words at the given places, from a second hash of each word."""
+    second = words.mix(w.second ^ _FURTHER)
+    out = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out = (out + second[at + k]) * _LEFT
+    return (words.mix(out) >> _U(48)).astype(np.uint16)
+
+
+def _member(values: np.ndarray, w: words.Words, at: np.ndarray, sets: list[bytes | None], width: int = 8) -> np.ndarray:
+    """Which windows' values are in their own document's set (ascending, of ``width`` bytes)."""
     out = np.zeros(len(values), bool)
     cuts = np.searchsorted(at, w.first)
     for k, data in enumerate(sets):
         a, b = cuts[k], cuts[k + 1]
         if data and b > a:
-            have = np.frombuffer(data, np.uint64)
+            have = exchange.keys_of(data, width)
             found = np.searchsorted(have, values[a:b])
             out[a:b] = have[np.minimum(found, len(have) - 1)] == values[a:b]
     return out
@@ -111,40 +124,57 @@ def _symbol_pairs(batches, n: int):
         ids = np.asarray(batch.column("doc"))
         w = words.split_words(common.texts(batch, "text"))
         at, symbols = window_symbols(w, n)
-        yield symbols, ids[w.doc_of_word()[at]]
+        yield symbols & _REVEAL, ids[w.doc_of_word()[at]], exchange.NARROW
 
 
 def _window_pairs(batches, n: int):
     for batch in common.slices(batches, ["text"]):
         ids = np.asarray(batch.column("doc"))
-        w = words.split_words(common.texts(batch, "text"))
+        w = words.split_words(common.texts(batch, "text"), second=True)
         at, symbols = window_symbols(w, n)
-        keep = _member(symbols, w, at, batch.column("keys").to_pylist())
-        yield words.window_hashes(w.hashes, n)[at[keep]], ids[w.doc_of_word()[at[keep]]]
+        at = at[_member(symbols & _REVEAL, w, at, batch.column("keys").to_pylist(), REVEAL_BYTES)]
+        yield words.window_hashes(w.hashes, n)[at] if len(at) else np.empty(0, np.uint64), ids[w.doc_of_word()[at]], further_bits(w, at, n)
 
 
 def repeated_windows(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(doc, keys): fingerprints of each document's windows that also start in a smaller document.
+    """(doc, keys, more): fingerprints of each document's windows that also start in a smaller document.
 
     docs: columns doc (long, rows with null are left out) and text.
     """
     parts = exchange.parts_of(docs.sparkSession)
     docs = docs.where("doc is not null and text is not null")
-    packed = docs.mapInArrow(workers.task("substring")(lambda batches: exchange.pack(_symbol_pairs(batches, n), parts)), exchange.PACKED_DDL)
-    revealed = common.materialize(exchange.answers(packed, _shared, parts, "substring"), "symbols")
-    near = common.id_filter(docs, revealed, "doc", "left_semi").join(revealed, "doc")
+    packed = docs.mapInArrow(workers.task("substring")(lambda batches: exchange.pack(_symbol_pairs(batches, n), parts, width=REVEAL_BYTES)), exchange.PACKED_DDL)
+    revealed = common.materialize(exchange.answers(packed, _shared, parts, "substring", REVEAL_BYTES), "symbols")
+    del packed
+    common.forget(docs.sparkSession)  # else both exchanges are on disk at once
+    near = common.id_filter(docs, revealed, "doc", "left_semi").join(revealed.select("doc", "keys"), "doc")
     packed = near.mapInArrow(workers.task("substring")(lambda batches: exchange.pack(_window_pairs(batches, n), parts)), exchange.PACKED_DDL)
     found = common.materialize(exchange.answers(packed, _later, parts, "substring"), "windows")
     common.drop(revealed)
+    del packed, near, revealed
+    common.forget(docs.sparkSession)
     return found
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
 
-def _covered(w: words.Words, sets: list[bytes | None], n: int) -> np.ndarray:
+def _covered(w: words.Words, sets: list[bytes | None], more: list[bytes | None], n: int) -> np.ndarray:
     at, h = w.windows(n)
-    hit = at[_member(h, w, at, sets)]
+    near = _member(h, w, at, sets)
+    at, h = at[near], h[near]
+    # The fingerprints' other bits, of windows whose first 64 are among the document's: few beside all windows.
+    further, hit, cuts = further_bits(w, at, n), np.zeros(len(at), bool), np.searchsorted(at, w.first)
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if b > a:
+            have = np.stack([np.frombuffer(sets[k], np.uint64), np.frombuffer(more[k], np.uint16).astype(np.uint64)], axis=1)
+            own = np.stack([h[a:b], further[a:b].astype(np.uint64)], axis=1)
+            if len(np.unique(have[:, 0])) == len(have):
+                hit[a:b] = have[np.searchsorted(have[:, 0], own[:, 0]), 1] == own[:, 1]
+            else:  # two of a document's fingerprints agree in 64 bits
+                known = set(map(tuple, have.tolist()))
+                hit[a:b] = [tuple(x) in known for x in own.tolist()]
+    hit = at[hit]
     change = np.zeros(len(w.hashes) + n + 1, np.int32)
     np.add.at(change, hit, 1)
     np.add.at(change, hit + n, -1)
@@ -155,8 +185,9 @@ def _covered(w: words.Words, sets: list[bytes | None], n: int) -> np.ndarray:
 def _cut(batches, n: int, digest: bool):
     for batch in common.slices(batches, ["text"]):
         docs = common.texts(batch, "text")
-        w = words.split_words(docs)
-        gone = _covered(w, batch.column("keys").to_pylist(), n)
+        sets = batch.column("keys").to_pylist()
+        w = words.split_words(docs, second=any(sets))
+        gone = _covered(w, sets, batch.column("more").to_pylist(), n) if any(sets) else np.zeros(len(w.hashes), bool)
         kept = []
         for k, text in enumerate(docs):
             a, b = w.first[k], w.first[k + 1]
@@ -186,6 +217,6 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, digest: bool = False, id_co
         # Only texts that lose words are shuffled; the others are finished where they are read.
         ids = F.broadcast(found.select("doc"))
         hit = rows.join(ids, "doc", "left_semi").join(found, "doc")
-        rest = rows.join(ids, "doc", "left_anti").withColumn("keys", F.lit(None).cast("binary"))
+        rest = rows.join(ids, "doc", "left_anti").withColumns({c: F.lit(None).cast("binary") for c in ("keys", "more")})
         return hit.mapInArrow(lambda b: _cut(b, n, digest), kind).unionByName(rest.mapInArrow(lambda b: _cut(b, n, digest), kind)).withColumn("kept", F.col("kept").cast("string"))
     return rows.join(found, "doc", "left").mapInArrow(lambda b: _cut(b, n, digest), kind).withColumn("kept", F.col("kept").cast("string"))

@@ -23,6 +23,7 @@ BLOCK = 1 << 19
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+_SECOND = np.random.default_rng(1109).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _STEPS = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
 _powers = np.ones((2, 1), np.uint64)
 
@@ -57,12 +58,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Fingerprints of buf[s:e] for each span."""
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTES) -> np.ndarray:
+    """Fingerprints of buf[s:e] for each span. values: of the 256 bytes; others give independent fingerprints."""
     powers = _power_tables(len(buf) + 1)
     sums = np.empty(len(buf) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTES[buf] * powers[0, : len(buf)], out=sums[1:])
+    np.cumsum(values[buf] * powers[0, : len(buf)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * powers[1][starts] + (ends - starts).astype(np.uint64) * _STEPS[63])
 
 
@@ -93,6 +94,7 @@ class Words:
     offsets: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    second: np.ndarray | None = None
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -116,23 +118,25 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def split_words(docs: list[bytes], fold: bool = False) -> Words:
-    """Words of each document; fold: with A-Z lower-cased."""
+def split_words(docs: list[bytes], fold: bool = False, second: bool = False) -> Words:
+    """Words of each document; fold: with A-Z lower-cased; second: with a second fingerprint of each."""
     lengths = np.fromiter(map(len, docs), np.int64, len(docs))
     offsets = np.concatenate(([0], np.cumsum(lengths + 1)))
     buf = np.frombuffer(b" ".join(docs) + b" ", np.uint8) if docs else np.empty(0, np.uint8)
     if fold:
         buf = LOWER[buf]
-    hashes, starts, ends = [], [], []
+    hashes, others, starts, ends = [], [], [], []
     for a, b in _blocks(buf):
         part = buf[a:b]
         s, e = _spans(~IS_SPACE[part])
         hashes.append(span_hashes(part, s, e))
+        if second:
+            others.append(span_hashes(part, s, e, _SECOND))
         starts.append(s + a)
         ends.append(e + a)
     cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
     starts, ends = cat(starts, np.int64), cat(ends, np.int64)
-    return Words(cat(hashes, np.uint64), np.searchsorted(starts, offsets), buf, offsets, starts, ends)
+    return Words(cat(hashes, np.uint64), np.searchsorted(starts, offsets), buf, offsets, starts, ends, cat(others, np.uint64) if second else None)
 
 
 def unique_in_docs(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
