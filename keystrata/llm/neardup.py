@@ -11,7 +11,7 @@ form a bucket; pairs of a bucket's smallest member with the others (as many as m
 square) tie buckets together into clusters, which hold every candidate pair. A cluster's full sets
 meet once: an index of each set's rarest shingles (those that a set of similarity 0.85 can't miss
 altogether) yields the pairs to confirm, and pairs that are in one component already are skipped.
-Clusters of more than BLOCK members are compared block against block, in tasks of bounded size.
+Clusters of more than BLOCK members or BLOCK_SHINGLES shingles are compared block against block, in tasks of bounded size.
 Components that span tasks are found by Spark rounds over the links.
 """
 
@@ -28,8 +28,8 @@ SHINGLE, PERCENT = 5, 85
 #: DISTANCE is what CHUNKS chunks with one difference each guarantee.
 SYMBOLS, CHUNKS = 64, 12
 DISTANCE = 2 * CHUNKS - 1
-#: Members of a cluster in one block; a task compares two blocks at most.
-BLOCK = 4096
+#: Members of a cluster in one block on average, and shingles; a task compares two blocks at most.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 19
 
 _U = np.uint64
 _random = np.random.default_rng(20240607)
@@ -218,7 +218,8 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     hubs = tied.select("a", F.explode("hubs").alias("b")).where("a <> b").distinct()
     clusters = components(tied.select("a", "b").unionByName(hubs))
     common.drop(tied)
-    sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = clusters.join(classes.select("id", "n_shingles"), "id").groupBy(F.col("component").alias("cluster"))
+    sizes = sized.agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = common.materialize(clusters.withColumnRenamed("component", "cluster").join(sizes, "cluster"), "members")
     near = common.id_filter(docs, members.select(F.col("id").alias("doc")), "doc", "left_semi")
     sets = near.mapInArrow(_sets, "id long, shingles binary").join(members, "id")
