@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from keystrata.llm import decontam, html_extract, lengths, neardup, packing, pii, quality, registry, substring, token_codes, tokens, toxicity, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ODD = ["", "a  b", "x   y ", "\n a b\n\n c", " lead", "tab\tx y", "é ́x", "<|endoftext|> q a<|endoftext|>", "ΑΣ Σ", "1234 a1b", "don't we'll ' s", "İstanbul ŒUVRE", "a. b", "漢字 🙂 x", "w" * 300 + " v"]
+ODD = ["", "<|startoftext|>a <|endoftext|", "a\nB c.\nD", "a\n\nb", "\u0130\u0130", "x,.!? y\n z", "a\x0bb\nc", "a  b", "x   y ", "\n a b\n\n c", " lead", "tab\tx y", "é ́x", "<|endoftext|> q a<|endoftext|>", "ΑΣ Σ", "1234 a1b", "don't we'll ' s", "İstanbul ŒUVRE", "a. b", "漢字 🙂 x", "w" * 300 + " v"]
 
 
 @pytest.fixture(scope="module")
@@ -44,9 +44,11 @@ def docs(spark, texts):
 def test_encoder_equals_library(name, texts):
     path = tokens.default_path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    rng = random.Random(3)
+    signs = ["a", "B", "é", "\n", " ", "\t", ".", ",", "'s", "1", "漢", "<|endoftext|>", "\u0301", "ß", "\u00a0", "\u1e9e", "ll", "\x1f"]
+    all_ = [*ODD, *texts.values(), *("".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(3000))]
     own = tokens.PieceEncoder(path, most=50)  # also with a cache that keeps overflowing
-    for text, ids in zip([*ODD, *texts.values()], own.encode([*ODD, *texts.values()]), strict=True):
+    for text, ids in zip(all_, own.encode(all_), strict=True):
         assert ids == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
@@ -69,6 +71,7 @@ def test_codes_round_trip():
         ids = rng.integers(0, top, n).astype(np.uint32)
         code = token_codes.Code(token_codes.encode(ids))
         assert len(code) == n and (code.decode() == ids).all()
+        assert n == 0 or token_codes.encode_many([ids, ids[:1], ids[: n // 2 + 1]]) == [token_codes.encode(x) for x in (ids, ids[:1], ids[: n // 2 + 1])]
         assert all(code[int(i)] == ids[i] for i in rng.integers(0, n, 50 if n else 0))
     with pytest.raises(IndexError):
         code[n]
@@ -198,6 +201,15 @@ def test_short_items_with_substitutions(spark):
     assert {r.doc_id: r.contaminated for r in decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()} == want
 
 
+def test_items_of_a_few_words(spark):
+    """Items of 5 to 7 words are found whole and unchanged; shorter ones aren't looked for."""
+    items = {n: [f"q{n}x{k}" for k in range(n)] for n in (3, 4, 5, 6, 7)}
+    rows = [(n, " ".join(["pre", *item, "post"])) for n, item in items.items()] + [(10 + n, " ".join(["pre", *item[:-1], "post"])) for n, item in items.items()]
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {k: str(k) if 5 <= k <= 7 else "" for k, _ in rows}
+
+
 def test_base_statistics(texts):
     odd = [*texts.values(), "a a a a a a\n\na a a a a a\n b\nb\n b", "#x | <y>\n#x | <y>", "é漢 ü"]
     counts = quality.count_texts([t.encode() for t in odd])
@@ -362,3 +374,155 @@ def test_names_after_long_class_lists():
 def test_registered():
     names = [n for n in registry.queries() if n.startswith("op")]
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+
+
+def test_windows_that_agree_in_64_bits_only():
+    """Of pairs with one 64-bit fingerprint only those that agree in the further bits count as repeats."""
+    keys, docs, more = (np.array(x, t) for x, t in (([1, 1, 1, 2], np.uint64), ([1, 2, 3, 3], np.int64), ([5, 6, 5, 5], np.uint16)))
+    assert [x.tolist() for x in substring._later(keys, docs, more)] == [[1], [3], [5]]
+    w = words.split_words([b" ".join(b"w%d" % k for k in range(20))], second=True)
+    at, h = w.windows(13)
+    further = substring.further_bits(w, at, 13)
+    own, gone = h[2:3].tobytes(), lambda sets, more: substring._covered(w, [sets], [more], 13).sum()
+    assert gone(own, further[2:3].tobytes()) == 13 and gone(own, (further[2:3] ^ np.uint16(1)).tobytes()) == 0
+    assert gone(np.repeat(h[2:3], 2).tobytes(), np.array([0, further[2]], np.uint16).tobytes()) == 13
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """A source with a handful of texts is judged by its language: its own odd ones don't make the rule."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    rows = [(k, " ".join(word() for _ in range(rng.randint(15, 200))), "en", f"s{k % 3}") for k in range(300)]
+    rows += [(1000 + k, " ".join(word() + "%%#" for _ in range(80)), "en", "rare") for k in range(5)]
+    rows += [(2000 + k, " ".join(word() for _ in range(80)), "en", "rare") for k in range(2)]
+    got = quality.score(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.kept == (not 1000 <= r.doc_id < 2000) for r in got)
+
+
+def test_pages_of_odd_markup():
+    one = lambda page: html_extract.extract(page, html_extract.choose(html_extract.wrapper_of(page)))
+    assert one("<body class='single has-sidebar'><p>main text here</p></body>") == "main text here"
+    assert one("<body><article class='post no-comments'><p>main text here</p></article></body>") == "main text here"
+    assert one("<body><form id=f action=x><nav>n</nav><div><p>main text here and more of it</p></div></form></body>") == "main text here and more of it"
+    assert one("<body><div><p>One article text here</p><form><p>sub</p><input></form></div></body>") == "One article text here"
+    assert one("<body><p class=\"a>One</p><p id=\"x\">Two</p></body>") == "One\nTwo"
+    assert one("<body><p title='a > b'>One</p><p data-x='<b>q</b>' id=x>Two</p></body>") == "One\nTwo"
+    deep = "<div>" * 1000 + "<p>in deep</p><div class=comments><p>hi</p></div>" + "</div>" * 500 + "<p>half way</p>" + "</div>" * 500
+    assert one(f"<body>{deep}</body>") == "in deep\nhalf way"
+
+
+def test_align_long_sequences():
+    """Beyond the exact table: pairs are in order, equal, and nearly as many as the longest common subsequence has."""
+    rng = random.Random(1)
+    a = [f"x{k}" for k in range(4000)]
+    b = [x for x in a if rng.random() > 0.2]
+    for k in range(0, len(b), 7):
+        b.insert(k, f"y{k}")
+    for x, y, least in ((a, b, 0.99 * sum(z in set(a) for z in b)), ([rng.choice("abcd") for _ in range(900)], [rng.choice("abcd") for _ in range(900)], 200)):
+        pairs = html_extract.align(x, y)
+        assert all(x[i] == y[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs)) and len(pairs) >= least
+
+
+def test_main_text_of_generated_sites(spark):
+    """Against the blocks that each page was made from: menus, notices, asides, comments and a host's fixed lines go, the article stays whole."""
+    rng = random.Random(11)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(8, 30)))
+    rows, want = [], {}
+    for site in range(5):
+        fixed, shape = line(), site % 3
+        for k in range(8):
+            blocks = [line() for _ in range(rng.randint(2, 6))]
+            body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" if i % 2 else f"<ul><li>{b}</li></ul>" for i, b in enumerate(blocks[1:]))
+            body = (f"<article>{body}<p>{fixed}</p></article>", f"<main class='has-sidebar'>{body}</main><aside>{line()}</aside>", f"<div id=wrap><div class=post>{body}</div><div class='ad box'>{line()}</div></div>")[shape]
+            page = f"<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li><a href=/>home</a></li></ul></nav><header>{fixed}</header>{body}<section class=comments><p>{line()}</p></section><footer>{fixed}</footer><script>var a = '<p>x</p>'</script></body></html>"
+            rows.append((len(rows), f"http://s{site}.org/{k}", page))
+            want[len(rows) - 1] = "\n".join(blocks)
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want
+
+
+def test_estimate_against_brute_force(spark):
+    """The centre and the rejected rows are those of an exhaustive search: exact concentration steps from many random starts."""
+    rng = np.random.default_rng(5)
+    d = len(quality.FLOORS)
+    mix = np.eye(d) + 0.4 * rng.normal(size=(d, d))
+    good = rng.normal(size=(600, d)) @ mix + 3
+    bad = 9 + 0.3 * rng.normal(size=(120, d))
+    x = np.concatenate((good, bad))
+    h, best = int(np.ceil(quality.SUPPORT * len(x))), (np.inf, None)
+    for _ in range(60):
+        take = rng.choice(len(x), d + 1, replace=False)
+        for _ in range(30):
+            center, scatter = x[take].mean(axis=0), np.cov(x[take].T, bias=True) + 1e-6 * np.eye(d)
+            off = x - center
+            take = np.argsort(np.einsum("ij,jk,ik->i", off, np.linalg.inv(scatter), off), kind="stable")[:h]
+        det = np.linalg.slogdet(np.cov(x[take].T, bias=True))[1]
+        if det < best[0]:
+            best = det, x[take].mean(axis=0)
+    rows = spark.createDataFrame([("en", "s", *map(float, r)) for r in x], "g_lang string, g_source string, " + ", ".join(f"x{i} double" for i in range(d)))
+    params, groups = quality.estimate(rows, steps=8)
+    (got,) = params.collect()
+    assert groups == 3 and np.abs(np.array(got.center) - best[1]).max() < 0.15
+    off = x - np.array(got.center)
+    far = np.einsum("ij,jk,ik->i", off, np.array(got.precision).reshape(d, d), off) > quality.CUTOFF
+    assert far[600:].all() and far[:600].mean() < 0.02
+
+
+def test_toxicity_against_plain_python(spark):
+    """The lexicon is the one that loops over the labelled texts give, and a score is the classifier's on plain counts."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    rows, labels = {}, {}
+    for k in range(400):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(5, 60))]
+        labels[k] = int(k % 5 == 0)
+        for _ in range(rng.randint(1, 4) if labels[k] else 0):
+            w[rng.randrange(len(w))] = rng.choice(["zorqa", "zorqen", "Vlimish,"])
+        rows[k] = " ".join(w)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    truth = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    lexicon, classifier = toxicity.train(docs, truth)
+    own = [k for k in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    counts = {y: Counter() for y in (0, 1)}
+    for k in own:
+        counts[labels[k]].update({u for t in rows[k].split() if (w := toxicity.clean(t)).isalpha() for u in toxicity.units_of(w)})
+    n = [sum(labels[k] == y for k in own) for y in (0, 1)]
+    ratio = {u: (c + 0.1) / (n[1] + 1) / ((counts[0][u] + 0.5) / (n[0] + 1)) for u, c in counts[1].items() if c >= max(3, n[1] // 250)}
+    want = {u: toxicity.KINDS.index(u[0]) * 3 + sum(r < t for t in toxicity.TIERS) for u, r in ratio.items() if r >= toxicity.LEAST_RATIO}
+    assert lexicon == want and any(u.startswith("4zorq") for u in want)
+    plain = {}
+    for k, t in rows.items():
+        hits = Counter(lexicon[u] for x in t.split() for u in toxicity.units_of(toxicity.clean(x)) if u in lexicon)
+        words_ = t.split()
+        rest = [len(words_), sum(x.isupper() for x in words_), t.count("!"), sum(c in "#*$%&|" for c in t), sum(a == b for a, b in itertools.pairwise(words_))]
+        plain[k] = float(classifier(toxicity.features(np.array([[hits[g] for g in range(toxicity.GROUPS)] + rest])))[0])
+    got = {r.doc_id: r.score for r in toxicity.score(docs, truth).collect()}
+    assert all(abs(got[k] - plain[k]) < 1e-9 for k in rows)
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """What is left, and how it is packed, from a table whose every row has a known fate."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    texts = {k: prose(rng.randint(40, 160)) for k in range(120)}
+    item = prose(30)
+    near = texts[3].split(" ")
+    near[len(near) // 2] = "other"
+    gone = {200: texts[3], 201: " ".join(near) + " end", 202: f"{prose(20)} {item} {prose(20)}", 203: None, 204: "", 205: "too short", 206: " ".join(["again and again it says so"] * 20), 207: " ".join(word() + "%%#" for _ in range(80))}
+    secret = {300: (f"{prose(30)} mail a.b@c.de {prose(30)}", "a.b@c.de", "[EMAIL]"), 301: (f"{prose(30)} at 10.1.2.3 {prose(30)}", "10.1.2.3", "[IP]")}
+    rows = [(k, t, "en", f"s{k % 2}") for k, t in (*texts.items(), *gone.items(), *((k, t) for k, (t, _, _) in secret.items()))]
+    rows.append((None, prose(50), None, None))
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/t/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/t/benchmark.parquet")
+    got = defaultdict(dict)
+    for r in corpus_pipeline.run(spark, f"{tmp_path}/t").collect():
+        got[r.doc_id][r.start] = r.ids
+    plain = Tokenizer.from_file(tokens.default_path("byte_bpe_50k.json"))
+    want = {**texts, **{k: t.replace(a, b) for k, (t, a, b) in secret.items()}, None: rows[-1][1]}
+    assert got.keys() == want.keys()
+    for k, t in want.items():
+        assert b"".join(got[k][s] for s in sorted(got[k])) == np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes(), k
