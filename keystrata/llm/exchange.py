@@ -102,17 +102,23 @@ def sorted_groups(keys: np.ndarray, docs: np.ndarray, more: np.ndarray) -> tuple
     return keys, docs, more, np.cumsum(np.concatenate(([0], new))) if len(keys) else np.empty(0, np.int64)
 
 
-def answers(packed: DataFrame, select: Callable[[np.ndarray, np.ndarray, np.ndarray], Pairs], parts: int, owner: str, width: int = 8) -> DataFrame:
-    """(doc, keys, more): for each document the fingerprints (ascending) that ``select`` keeps.
+def meet(packed: DataFrame, select: Callable[[np.ndarray, np.ndarray, np.ndarray], Pairs], parts: int, owner: str, width: int = 8) -> DataFrame:
+    """Packed rows, dealt by document, of the pairs that ``select`` keeps.
 
     select gets the distinct pairs of a part, all pairs of a fingerprint together, and returns pairs.
     """
 
-    def meet(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         found = list(pack([select(*unpack(table, width))], max(1, parts // PARTS), by_doc=True, width=width))
         return pa.Table.from_batches(found, schema=PACKED)
 
-    def gather(table: pa.Table) -> pa.Table:
+    return packed.groupBy("part").applyInArrow(workers.group(owner)(run), PACKED_DDL)
+
+
+def gather(met: DataFrame, owner: str, width: int = 8) -> DataFrame:
+    """(doc, keys, more): the fingerprints (ascending) of each document in rows dealt by document."""
+
+    def run(table: pa.Table) -> pa.Table:
         keys, docs, more = unpack(table, width)
         wide = len(more) > 0
         order = np.lexsort((more, keys, docs) if wide else (keys, docs))
@@ -121,4 +127,4 @@ def answers(packed: DataFrame, select: Callable[[np.ndarray, np.ndarray, np.ndar
         ends = [*cuts[1:], len(docs)]
         return pa.table({"doc": pa.array(docs[cuts], pa.int64()), **{n: pa.array([f(x[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()) for n, x, f in (("keys", keys, lambda k: key_bytes(k, width)), ("more", more, np.ndarray.tobytes))}}, schema=BY_DOC)
 
-    return packed.groupBy("part").applyInArrow(workers.group(owner)(meet), PACKED_DDL).groupBy("part").applyInArrow(workers.group(owner)(gather), BY_DOC_DDL)
+    return met.groupBy("part").applyInArrow(workers.group(owner)(run), BY_DOC_DDL)

@@ -14,6 +14,7 @@ two hashes of each word: among n windows about n*n / 2**81 pairs agree by chance
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -26,6 +27,8 @@ from . import common, exchange, words, workers
 WINDOW = 13
 #: Bytes of a symbol that are sent: they only say which windows are looked at again.
 REVEAL_BYTES = 6
+#: Windows meet in as many passes, each with its share of the parts, so that a pass has few of them on disk twice.
+PASSES = 2
 _U = np.uint64
 _REVEAL = _U((1 << 8 * REVEAL_BYTES) - 1)
 _FURTHER = _U(0x2545F4914F6CDD1D)
@@ -141,18 +144,28 @@ def repeated_windows(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
     docs: columns doc (long, rows with null are left out) and text.
     """
-    parts = exchange.parts_of(docs.sparkSession)
+    spark = docs.sparkSession
+    parts = exchange.parts_of(spark)
     docs = docs.where("doc is not null and text is not null")
     packed = docs.mapInArrow(workers.task("substring")(lambda batches: exchange.pack(_symbol_pairs(batches, n), parts, width=REVEAL_BYTES)), exchange.PACKED_DDL)
-    revealed = common.materialize(exchange.answers(packed, _shared, parts, "substring", REVEAL_BYTES), "symbols")
+    revealed = common.materialize(exchange.gather(exchange.meet(packed, _shared, parts, "substring", REVEAL_BYTES), "substring", REVEAL_BYTES), "symbols")
     del packed
-    common.forget(docs.sparkSession)  # else both exchanges are on disk at once
+    common.forget(spark)  # else both exchanges are on disk at once
     near = common.id_filter(docs, revealed, "doc", "left_semi").join(revealed.select("doc", "keys"), "doc")
-    packed = near.mapInArrow(workers.task("substring")(lambda batches: exchange.pack(_window_pairs(batches, n), parts)), exchange.PACKED_DDL)
-    found = common.materialize(exchange.answers(packed, _later, parts, "substring"), "windows")
+    # Written before they meet: else the shuffled texts stay on disk until the last exchange ends.
+    sent = common.materialize(near.mapInArrow(workers.task("substring")(lambda batches: exchange.pack(_window_pairs(batches, n), parts)), exchange.PACKED_DDL), "sent")
     common.drop(revealed)
-    del packed, near, revealed
-    common.forget(docs.sparkSession)
+    del near, revealed
+    met = []
+    for k in range(PASSES):
+        common.forget(spark)
+        met.append(common.materialize(exchange.meet(sent.where(F.col("part") % PASSES == k), _later, parts, "substring"), "met"))
+    common.drop(sent)
+    common.forget(spark)
+    found = common.materialize(exchange.gather(functools.reduce(DataFrame.unionByName, met), "substring"), "windows")
+    for table in met:
+        common.drop(table)
+    common.forget(spark)
     return found
 
 

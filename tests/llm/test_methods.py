@@ -4,14 +4,16 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keystrata.llm import decontam, html_extract, lengths, neardup, packing, pii, quality, registry, substring, token_codes, tokens, toxicity, words
+from keystrata.llm import common, decontam, html_extract, lengths, neardup, packing, pii, quality, registry, substring, token_codes, tokens, toxicity, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", "<|startoftext|>a <|endoftext|", "a\nB c.\nD", "a\n\nb", "\u0130\u0130", "x,.!? y\n z", "a\x0bb\nc", "a  b", "x   y ", "\n a b\n\n c", " lead", "tab\tx y", "é ́x", "<|endoftext|> q a<|endoftext|>", "ΑΣ Σ", "1234 a1b", "don't we'll ' s", "İstanbul ŒUVRE", "a. b", "漢字 🙂 x", "w" * 300 + " v"]
@@ -526,3 +528,55 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     assert got.keys() == want.keys()
     for k, t in want.items():
         assert b"".join(got[k][s] for s in sorted(got[k])) == np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes(), k
+
+
+def _shuffles(spark, at_most):
+    """Shuffles whose files are kept, after some time to become no more than so many."""
+    count = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    until = time.monotonic() + 3
+    while count() > at_most and time.monotonic() < until:
+        time.sleep(0.1)
+    return count()
+
+
+def test_forget_lets_go_of_the_newest_step(spark):
+    common.forget(spark)
+    before = _shuffles(spark, 0)
+    for _ in range(3):
+        table = common.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "newest")
+        common.forget(spark)
+        assert _shuffles(spark, before) <= before
+        assert table.count() == 7
+        common.drop(table)
+
+
+def test_substring_holds_one_exchange_at_a_time(spark, monkeypatch):
+    """Pairs meet when the shuffles before are gone, and windows don't meet in the step that shuffles texts."""
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(300)]
+    rows = []
+    for k in range(40):
+        own = [f"w{rng.randint(0, 10**9)}" for _ in range(30)]
+        at = rng.randint(0, 260)
+        rows.append((k, " ".join(own[:15] + passage[at : at + 40] + own[15:])))
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    common.forget(spark)
+    before, held, plans, write = _shuffles(spark, 0), [], [], common.materialize
+
+    def step(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        if "FlatMapGroups" in plans[-1]:
+            held.append(_shuffles(spark, before))
+        return write(df, name)
+
+    monkeypatch.setattr(common, "materialize", step)
+    found = substring.repeated_windows(docs).collect()
+    assert held and max(held) <= before
+    assert any("Join" in p for p in plans) and not any("Join" in p and "FlatMapGroups" in p for p in plans)
+    # All windows of 13 words that start in a smaller document, one row a document.
+    first, want = {}, {}
+    for k, text in rows:
+        own = text.split()
+        want[k] = len({w for i in range(len(own) - 12) if first.setdefault(w := tuple(own[i : i + 13]), k) < k})
+    assert len({r.doc for r in found}) == len(found)
+    assert {r.doc: len(r["keys"]) // 8 for r in found} == {k: n for k, n in want.items() if n} and all(len(r.more) * 4 == len(r["keys"]) for r in found)
